@@ -73,6 +73,16 @@ def _ascii_forms() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from), "".join(single_to), several
 
 
+def _ranges(chars) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for code in sorted(map(ord, chars)):
+        if out and out[-1][1] == code - 1:
+            out[-1] = (out[-1][0], code)
+        else:
+            out.append((code, code))
+    return out
+
+
 def transliterate(text: Column) -> Column:
     """Closest ASCII form; what has none is dropped."""
     for char, plain in (("œ", "oe"), ("æ", "ae"), ("Œ", "OE"), ("Æ", "AE"), ("ß", "ss")):
@@ -81,11 +91,12 @@ def transliterate(text: Column) -> Column:
     text = F.translate(text, one_from, one_to)
     # Characters that become several (ligatures, fractions) are rare: only such texts are taken apart.
     table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{p}" for c, p in several.items())), F.lit("\x01"), F.lit("\x02"))
-    rare = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in several) + "]"
+    rare = F.lit("[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in _ranges(several)) + "]")
     expanded = F.array_join(
         F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
     )
-    text = F.when(text.rlike(rare), expanded).otherwise(text)
+    left = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    text = F.when((left != "") & F.rlike(left, rare), expanded).otherwise(text)
     return F.regexp_replace(text, r"[^\x00-\x7F]", "")
 
 

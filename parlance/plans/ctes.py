@@ -44,7 +44,7 @@ LINES = r"""lines AS (
   FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS parts FROM documents))"""
 
 PATHS = r"""paths AS (
-  SELECT label::BIGINT AS seg_id, vec_id AS time_idx, list_position(l, list_max(l)) - 1 AS token_idx,
+  SELECT label::BIGINT AS seg_id, vec_id AS time_idx, (list_position(l, list_max(l)) - 1)::BIGINT AS token_idx,
          list_transform(l, lambda x: x::DOUBLE) AS logits
   FROM (SELECT vec_id, label, embedding[1:4] AS l FROM embeddings))"""
 
@@ -101,3 +101,46 @@ glued AS (
          sum(conf_pct)::BIGINT AS conf_sum, count(*) AS n_tokens,
          round_even(sum(conf_pct) / (100 * count(*)) * 100, 0) / 100 AS conf
   FROM walk JOIN seq USING (session, seg_idx, n) GROUP BY 1, 2, 3)"""
+
+LABELLED = LINES + r""",
+lw AS (SELECT doc_id, line_no, lang, unnest(ws) AS w, unnest(range(len(ws))) AS n FROM (
+  SELECT *, list_filter(string_split(trim(regexp_replace(line, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM lines)),
+shaped AS (SELECT *, CASE WHEN core = lower(core) THEN 0 WHEN core = upper(core) AND length(core) > 1 THEN 1
+    WHEN core = upper(substr(core, 1, 1)) || lower(substr(core, 2)) THEN 2 ELSE 3 END AS shape,
+  CASE right(w, 1) WHEN ',' THEN 1 WHEN '.' THEN 2 WHEN '?' THEN 3 WHEN '!' THEN 4 ELSE 0 END AS label
+  FROM (SELECT *, regexp_replace(w, '[,.!?]$', '') AS core FROM lw) WHERE core <> ''),
+pieced AS (SELECT *, CASE WHEN lang = 'fr' THEN CASE WHEN length(base) > 8 THEN [substr(base, 1, 6), substr(base, 7) || '</w>'] ELSE [base || '</w>'] END
+    ELSE CASE WHEN length(base) > 8 THEN [substr(base, 1, 6), '##' || substr(base, 7)] ELSE [base] END END AS pieces
+  FROM (SELECT *, CASE WHEN shape = 3 THEN core ELSE lower(core) END AS base FROM shaped)),
+labelled AS (SELECT doc_id, line_no, lang, n * 2 + i AS pos, token,
+    CASE WHEN i = len(pieces) - 1 THEN label ELSE 0 END AS punc_label,
+    CASE WHEN i = 0 OR shape IN (1, 3) THEN shape ELSE 0 END AS case_label
+  FROM (SELECT *, unnest(pieces) AS token, unnest(range(len(pieces))) AS i FROM pieced))"""
+
+SCORED = PATHS + r""",
+scored AS (SELECT seg_id, time_idx, token_idx, exp(logits[token_idx + 1]) / (exp(logits[1]) + exp(logits[2]) + exp(logits[3]) + exp(logits[4])) AS score FROM paths)"""
+
+CHAR_SEGMENTS = SCORED + r""",
+csegs AS (
+  SELECT seg_id, run, token_idx, min(time_idx) AS start, max(time_idx) + 1 AS "end", sum(score) / count(*) AS score FROM (
+    SELECT *, sum(brk) OVER (PARTITION BY seg_id ORDER BY time_idx) AS run FROM (
+      SELECT *, CASE WHEN token_idx = lag(token_idx) OVER (PARTITION BY seg_id ORDER BY time_idx) THEN 0 ELSE 1 END AS brk FROM scored))
+  GROUP BY 1, 2, 3)"""
+
+CHAR_WORDS = CHAR_SEGMENTS + r""",
+cwords AS (
+  SELECT seg_id, g, string_agg(['', 'a', 'b', 'c'][token_idx + 1], '' ORDER BY start) AS word, min(start) AS start, max("end") AS "end",
+         sum(score * ("end" - start)) / sum("end" - start) AS score
+  FROM (SELECT *, sum(CASE WHEN token_idx = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY seg_id ORDER BY start) AS g FROM csegs)
+  WHERE token_idx <> 0 GROUP BY 1, 2)"""
+
+HYPS = TURNS + r""",
+ws AS (SELECT conv_id || ':' || turn AS session, list_transform(items, lambda w, i: {
+    'start': (600 * (i - 1) + 3000 * ((i - 1) // 16)) / 1000, 'end': (600 * (i - 1) + 3000 * ((i - 1) // 16) + 500) / 1000,
+    'word': CASE WHEN (i - 1) % 16 = 15 THEN w || '.' ELSE w END}) AS ws FROM turns WHERE len(items) > 0),
+steps AS (SELECT session, ws, unnest(range(1, CAST(ceil(len(ws) / 4) AS BIGINT) + 1)) AS iter FROM ws),
+hyps AS (SELECT session, iter, ws, least(4 * iter, len(ws)) AS heard, greatest(4 * iter - 12, 0) AS lo,
+    list_transform(ws[greatest(4 * iter - 12, 0) + 1 : least(4 * iter, len(ws))], lambda w, j: CASE
+      WHEN greatest(4 * iter - 12, 0) + j = 4 * iter AND 4 * iter < len(ws) THEN {'start': w.start, 'end': w.end, 'word': w.word || '#'} ELSE w END) AS words,
+    ws[least(4 * iter, len(ws))].end + CASE WHEN iter % 3 = 0 THEN 0.02::DOUBLE ELSE 0.1::DOUBLE END AS buffer_end
+  FROM steps)"""

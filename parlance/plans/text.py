@@ -206,7 +206,15 @@ _DAY = (f"CASE WHEN (lang = 'fr' AND c[1] = 1) OR (lang <> 'fr' AND right(p[1],
         f"THEN {by_lang('c[1]', ordi)} ELSE {by_lang('c[1]', card)} END")
 _MONTH_SQL = f"CASE lang WHEN 'en' THEN {_list(MONTHS['en'])}[c[2]] ELSE {_list(MONTHS['fr'])}[c[2]] END"
 _IS_DAY = "TRY_CAST(p[1] AS BIGINT) BETWEEN 1 AND 31 AND TRY_CAST(p[2] AS BIGINT) BETWEEN 1 AND 12 AND len(p[2]) = 2"
-_CHAIN = " || ' / ' || ".join(by_lang(f"c[{i}]", card) for i in (1, 2, 3))
+
+
+def _with_zeros(i: int) -> str:
+    bare = f"replace(p[{i}], ' ', '')"
+    zeros = f"CASE WHEN ltrim({bare}, '0') = '' THEN 0 ELSE len({bare}) - len(ltrim({bare}, '0')) END"
+    return f"repeat(CASE lang WHEN 'fr' THEN 'zéro ' ELSE 'zero ' END, {zeros}) || {by_lang(f'c[{i}]', card)}"
+
+
+_CHAIN = " || ' / ' || ".join(_with_zeros(i) for i in (1, 2, 3))
 
 
 @register("fractions_dates", _TOKENS + f"""

@@ -21,8 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversation turn: a recognizer segment with its words."""
-    src = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return src.select(
+    return turns_of(table(spark, sf_dir, "conversations"))
+
+
+def turns_of(conversations: DataFrame) -> DataFrame:
+    """The same from a batch or a stream of conversations."""
+    return conversations.select(
         "conv_id",
         "turn",
         "role",
@@ -197,3 +201,96 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "items",
         (F.col("logprob_milli") / 1000).alias("avg_logprob"),
     )
+
+
+def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document lines as sub-word tokens with the labels that give the line back:
+    (doc_id, line_no, lang, pos, token, punc_label, case_label)."""
+    worded = lines(spark, sf_dir).select(
+        "doc_id", "line_no", "lang", F.posexplode(split_words(F.col("line"))).alias("n", "w")
+    )
+    return (
+        worded.withColumn("core", F.regexp_replace("w", "[,.!?]$", ""))
+        .filter("core <> ''")
+        .withColumn("label", F.expr(
+            "case right(w, 1) when ',' then 1 when '.' then 2 when '?' then 3 when '!' then 4 else 0 end"))
+        .withColumn("shape", F.expr(
+            "case when core = lower(core) then 0 when core = upper(core) and length(core) > 1 then 1 "
+            "when core = concat(upper(substr(core, 1, 1)), lower(substr(core, 2))) then 2 else 3 end"))
+        .withColumn("base", F.expr("if(shape = 3, core, lower(core))"))
+        .withColumn("pieces", F.expr("""
+            if(lang = 'fr',
+               if(length(base) > 8, array(substr(base, 1, 6), concat(substr(base, 7), '</w>')), array(concat(base, '</w>'))),
+               if(length(base) > 8, array(substr(base, 1, 6), concat('##', substr(base, 7))), array(base)))"""))
+        .select("*", F.posexplode("pieces").alias("i", "token"))
+        .selectExpr(
+            "doc_id", "line_no", "lang", "cast(n * 2 + i as bigint) as pos", "token",
+            "if(i = size(pieces) - 1, label, 0) as punc_label",
+            "if(i = 0 or shape in (1, 3), shape, 0) as case_label",
+        )
+    )
+
+
+def scored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path points with the probability of their token: (seg_id, time_idx, token_idx, score)."""
+    return paths(spark, sf_dir).selectExpr(
+        "seg_id", "time_idx", "token_idx",
+        "exp(logits[cast(token_idx as int)]) / aggregate(logits, 0D, (acc, x) -> acc + exp(x)) as score",
+    )
+
+
+# Word i of a turn starts at 0.6 s steps with a pause of 3 s after every 16 words.
+HYP_WORDS = """
+transform(items, (w, i) -> struct(
+  (600 * i + 3000 * (i div 16)) / 1000D as start,
+  (600 * i + 3000 * (i div 16) + 500) / 1000D as end,
+  if(i % 16 = 15, concat(w, '.'), w) as word))
+"""
+HYP_SHOWN = """
+transform(slice(ws, greatest(4 * iter - 12, 0) + 1, 12), (w, j) ->
+  if(greatest(4 * iter - 12, 0) + j + 1 = 4 * iter and 4 * iter < size(ws),
+     struct(w.start as start, w.end as end, concat(w.word, '#') as word), w))
+"""
+
+
+def hypotheses(turn_rows: DataFrame) -> DataFrame:
+    """What a live recognizer shows of each turn: (session, iter, words, buffer_end, eof).
+
+    Every iteration hears four more words and shows the last twelve, the newest one still unsure
+    (``#``); the end of the session repeats the last one. All columns come from the turn's own row, so this works on streams as well.
+    """
+    worded = turn_rows.select(
+        F.concat_ws(":", "conv_id", "turn").alias("session"), F.expr(HYP_WORDS).alias("ws")
+    ).filter("size(ws) > 0")
+    steps = worded.withColumn("iter", F.explode(F.expr("sequence(1, cast(ceil(size(ws) / 4) as int) + 1)")))
+    shown = (
+        steps.withColumn("eof", F.expr("4 * (iter - 1) >= size(ws)"))
+        .withColumn("heard", F.expr("least(4 * iter, size(ws))"))
+        .withColumn("iter", F.expr("least(iter, cast(ceil(size(ws) / 4) as int))"))
+        .withColumn("words", F.expr(f"slice({HYP_SHOWN}, 1, heard - greatest(4 * iter - 12, 0))"))
+        .withColumn("buffer_end", F.expr("ws[heard - 1].end + if(eof, 0.5D, if(iter % 3 = 0, 0.02D, 0.1D))"))
+    )
+    return shown.select("session", F.expr("cast(iter + int(eof) as bigint)").alias("iter"), "words", "buffer_end", "eof", "ws")
+
+
+# Every event as the message a live client would send.
+PAYLOAD = """
+case event_type when 'purchase' then '{"eof" : 1}'
+  when 'view' then concat('{"config": {"sample_rate": ', if(user_id % 3 = 0, 8000, 16000), ', "language": "en"}}')
+  when 'error' then concat('{"config": {"language": "', user_id, '"}}')
+  else concat('pcm ', value) end
+"""
+
+
+def messages_of(events: DataFrame) -> DataFrame:
+    """Messages (session, seq, ts, payload, kind, sample_rate) from a batch or stream of events."""
+    from parlance.sources.messages import parse_messages
+
+    return parse_messages(
+        events.select(
+            F.col("user_id").alias("session"),
+            F.col("event_id").alias("seq"),
+            F.col("ts").cast("timestamp").alias("ts"),
+            F.expr(PAYLOAD).alias("payload"),
+        )
+    )

@@ -54,12 +54,30 @@ def canonical(columns, rows):
     return [columns[i] for i in order], out
 
 
+KINDS = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "FLOAT": "float", "VARCHAR": "string", "BOOLEAN": "boolean",
+}
+
+
+def type_differences(frame, cursor) -> str | None:
+    spark_types = dict(frame.dtypes)
+    wrong = [
+        f"{name}: spark {spark_types.get(name)} sql {kind}"
+        for name, kind in ((c[0], str(c[1])) for c in cursor.description)
+        if KINDS.get(kind, kind) != spark_types.get(name)
+    ]
+    return "; ".join(wrong) or None
+
+
 def run_pair(spark, con, sf_dir, query, sql):
     frame = query(spark, sf_dir)
     spark_cols, spark_rows = canonical(frame.columns, [tuple(r) for r in frame.collect()])
     if sql is None:
         return (spark_cols, spark_rows), None
     cursor = con.execute(sql)
+    types = type_differences(frame, cursor)
+    if types and os.environ.get("SHOW_TYPES"):
+        print("  types:", types)
     names = [c[0] for c in cursor.description]
     return (spark_cols, spark_rows), canonical(names, cursor.fetchall())
 
