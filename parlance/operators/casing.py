@@ -125,14 +125,10 @@ def remove_disfluencies(text: Column, lang: str) -> Column:
 
 def restore_disfluencies(text: Column, inserts: Column) -> Column:
     """Put hits back at their offset plus the number of marks that now stand before it."""
-    marks = F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
-                    lambda i: F.when(F.lit(MAPPED_PUNCTUATION).contains(F.substr(text, i, F.lit(1))) & (F.substr(text, i, F.lit(1)) != ""), i - 1)),
-        lambda p: p.isNotNull(),
-    )
 
     def insert(acc: Column, ins: Column) -> Column:
-        at = ins["start"] + F.size(F.filter(marks, lambda p: p < ins["start"]))
+        before = F.substr(text, F.lit(1), ins["start"])
+        at = ins["start"] + F.length(before) - F.length(drop_mapped_punct(before))
         return F.concat(F.substr(acc, F.lit(1), at), F.rtrim(ins["hit"]), F.substr(acc, at + 1))
 
     return F.when(F.size(inserts) > 0, F.aggregate(inserts, text, insert)).otherwise(text)

@@ -82,8 +82,8 @@ def _hits(word: str) -> str:
 @register("find_disfluencies", _FILLERS + f"SELECT doc_id, line_no, start::BIGINT AS start, hit FROM ({_hits('euh')} UNION ALL {_hits('heu')})")
 def find_disfluencies(spark, d):
     return _filler_lines(spark, d).select(
-        "doc_id", "line_no", F.explode(R.find_disfluencies(F.col("line"), "fr")).alias("h")
-    ).select("doc_id", "line_no", F.col("h.start").cast("long").alias("start"), "h.hit")
+        "doc_id", "line_no", F.explode_outer(R.find_disfluencies(F.col("line"), "fr")).alias("h")
+    ).filter("h is not null").select("doc_id", "line_no", F.col("h.start").cast("long").alias("start"), "h.hit")
 
 
 @register("remove_disfluencies", _FILLERS + r"""

@@ -132,7 +132,7 @@ FROM cut""")
 def no_space_words(spark, d):
     word, error = X.no_space_word(F.col("piece"))
     return T.lines(spark, d).select(
-        "doc_id", "line_no", F.posexplode(F.split("line", ",", -1)).alias("n", "piece")
+        "doc_id", "line_no", F.posexplode_outer(F.split("line", ",", -1)).alias("n", "piece")
     ).select("doc_id", "line_no", F.col("n").cast("long").alias("n"), word.alias("word"), error.alias("error"))
 
 
@@ -160,7 +160,8 @@ def roman_numerals(spark, d):
     words = X.spell(X.roman_value("token"), "lang", f"({X.roman_letters('token')} <> token)")
     return (
         T.numeric_lines(spark, d)
-        .select("order_id", "lang", F.explode(F.expr(X.roman_tokens("text", "lang"))).alias("token"))
+        .select("order_id", "lang", F.explode_outer(F.expr(X.roman_tokens("text", "lang"))).alias("token"))
+        .filter("token is not null")
         .select("order_id", "token", F.expr(X.roman_value("token")).alias("value"), F.expr(N.with_names(words)).alias("words"))
     )
 
@@ -174,7 +175,8 @@ def ordinals(spark, d):
     words = N.with_names(X.undigit("regexp_extract(token, '[0-9]+', 0)", "lang", "ordinal"))
     return (
         T.numeric_lines(spark, d)
-        .select("order_id", "lang", F.explode(F.expr(X.ordinal_tokens("text", "lang"))).alias("token"))
+        .select("order_id", "lang", F.explode_outer(F.expr(X.ordinal_tokens("text", "lang"))).alias("token"))
+        .filter("token is not null")
         .select("order_id", "token", F.expr(words).alias("words"))
     )
 
@@ -191,8 +193,8 @@ tok AS (SELECT order_id, lang, token, row_number() OVER (PARTITION BY order_id O
 @register("cardinals", _TOKENS + "SELECT order_id, idx, token FROM tok")
 def cardinals(spark, d):
     return T.numeric_lines(spark, d).select(
-        "order_id", F.posexplode(F.expr(X.cardinal_tokens("text"))).alias("idx", "token")
-    ).withColumn("idx", F.col("idx").cast("long"))
+        "order_id", F.posexplode_outer(F.expr(X.cardinal_tokens("text"))).alias("idx", "token")
+    ).filter("idx is not null").withColumn("idx", F.col("idx").cast("long"))
 
 
 def _denominator(d: str) -> str:
@@ -230,7 +232,8 @@ def fractions_dates(spark, d):
     return (
         T.numeric_lines(spark, d)
         .filter("lang <> 'es'")
-        .select("order_id", "lang", F.explode(F.expr(X.cardinal_tokens("text"))).alias("token"))
+        .select("order_id", "lang", F.explode_outer(F.expr(X.cardinal_tokens("text"))).alias("token"))
+        .filter("token is not null")
         .filter(F.contains("token", F.lit("/")))
         .select("order_id", "token", F.expr(N.with_names(X.number_words("token", "lang"))).alias("words"))
     )

@@ -1,6 +1,8 @@
 """The given tables seen as transcripts, frames, paths and request logs.
 
 Each adapter is a plain projection or aggregate, so filters and column pruning reach the scan.
+Computed arrays are unnested with the ``_outer`` forms: for the plain ones Spark infers a filter on
+the array's size below the unnesting, which works out the whole array a second time.
 """
 
 from __future__ import annotations
@@ -19,9 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a source of few splits to all cores; a source with many splits is left alone.
+
+    Text work is heavy per row, and a small table often comes as one row group.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(cores, key)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversation turn: a recognizer segment with its words."""
-    return turns_of(table(spark, sf_dir, "conversations"))
+    src = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turns_of(spread(src, "text"))
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
@@ -39,8 +51,8 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words without times: (conv_id, turn, pos, word, conf_pct, logprob_milli)."""
     return turns(spark, sf_dir).select(
-        "conv_id", "turn", "logprob_milli", F.posexplode("items").alias("pos", "word")
-    ).withColumn("conf_pct", 50 + (F.length("word") * 7) % 50)
+        "conv_id", "turn", "logprob_milli", F.posexplode_outer("items").alias("pos", "word")
+    ).filter("pos is not null").withColumn("conf_pct", 50 + (F.length("word") * 7) % 50)
 
 
 def word_ms(base: int) -> str:
@@ -68,8 +80,9 @@ def session_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     along = Window.partitionBy("conv_id", "turn").orderBy("pos")
     return (
         placed.select(
-            "conv_id", "turn", "logprob_milli", "turn_start", F.posexplode("items").alias("pos", "word")
+            "conv_id", "turn", "logprob_milli", "turn_start", F.posexplode_outer("items").alias("pos", "word")
         )
+        .filter("pos is not null")
         .withColumn("end_ms", F.col("turn_start") + F.sum(F.expr(word_ms(40))).over(along))
         .withColumn("start_ms", F.expr(f"end_ms - {word_ms(40)}"))
         .withColumn("conf_pct", 50 + (F.length("word") * 7) % 50)
@@ -112,10 +125,10 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents: (doc_id, line_no, lang, line)."""
-    src = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    src = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     return src.select(
-        "doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
-    ).withColumn("line_no", F.col("line_no").cast("long"))
+        "doc_id", "lang", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line")
+    ).filter("line_no is not null").withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +164,8 @@ NUMERIC_LANG = "element_at(array('en', 'fr', 'en', 'fr', 'es'), cast(o_orderkey
 
 def numeric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as spoken-language text with digits: (order_id, lang, text)."""
-    return table(spark, sf_dir, "orders").select(
+    src = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    return spread(src, "o_orderkey").select(
         F.col("o_orderkey").alias("order_id"),
         F.expr(NUMERIC_LANG).alias("lang"),
         F.expr(NUMERIC_TEXT.format(lang=NUMERIC_LANG)).alias("text"),
@@ -178,7 +192,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         timed_words(spark, sf_dir)
         .withColumn("core", F.regexp_replace("word", "[.,!?]+$", ""))
         .withColumn("mark", F.expr("substr(word, length(core) + 1)"))
-        .select("*", F.posexplode(F.expr(TOKEN_PIECES)).alias("piece", "token"))
+        .select("*", F.posexplode_outer(F.expr(TOKEN_PIECES)).alias("piece", "token"))
         .selectExpr(
             "conv_id as session",
             "turn as seg_idx",
@@ -207,8 +221,8 @@ def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document lines as sub-word tokens with the labels that give the line back:
     (doc_id, line_no, lang, pos, token, punc_label, case_label)."""
     worded = lines(spark, sf_dir).select(
-        "doc_id", "line_no", "lang", F.posexplode(split_words(F.col("line"))).alias("n", "w")
-    )
+        "doc_id", "line_no", "lang", F.posexplode_outer(split_words(F.col("line"))).alias("n", "w")
+    ).filter("n is not null")
     return (
         worded.withColumn("core", F.regexp_replace("w", "[,.!?]$", ""))
         .filter("core <> ''")
@@ -222,7 +236,7 @@ def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
             if(lang = 'fr',
                if(length(base) > 8, array(substr(base, 1, 6), concat(substr(base, 7), '</w>')), array(concat(base, '</w>'))),
                if(length(base) > 8, array(substr(base, 1, 6), concat('##', substr(base, 7))), array(base)))"""))
-        .select("*", F.posexplode("pieces").alias("i", "token"))
+        .select("*", F.posexplode_outer("pieces").alias("i", "token"))
         .selectExpr(
             "doc_id", "line_no", "lang", "cast(n * 2 + i as bigint) as pos", "token",
             "if(i = size(pieces) - 1, label, 0) as punc_label",
@@ -262,7 +276,7 @@ def hypotheses(turn_rows: DataFrame) -> DataFrame:
     worded = turn_rows.select(
         F.concat_ws(":", "conv_id", "turn").alias("session"), F.expr(HYP_WORDS).alias("ws")
     ).filter("size(ws) > 0")
-    steps = worded.withColumn("iter", F.explode(F.expr("sequence(1, cast(ceil(size(ws) / 4) as int) + 1)")))
+    steps = worded.withColumn("iter", F.explode_outer(F.expr("sequence(1, cast(ceil(size(ws) / 4) as int) + 1)")))
     shown = (
         steps.withColumn("eof", F.expr("4 * (iter - 1) >= size(ws)"))
         .withColumn("heard", F.expr("least(4 * iter, size(ws))"))
