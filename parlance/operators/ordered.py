@@ -196,7 +196,6 @@ def overlap_join(
     right_span: tuple[str, str],
     condition: str,
     width: int,
-    how: str = "inner",
 ) -> DataFrame:
     """Join intervals on equal keys and ``condition``, blocked by time.
 
@@ -205,9 +204,9 @@ def overlap_join(
     """
     l_lo, l_hi = (f"({e}) div {width}" for e in left_span)
     r_lo, r_hi = (f"({e}) div {width}" for e in right_span)
-    lhs = left.withColumn("__l_first", F.expr(l_lo)).withColumn("__slot", F.expr(f"explode(sequence({l_lo}, {l_hi}))"))
-    rhs = right.withColumn("__r_first", F.expr(r_lo)).withColumn("__slot", F.expr(f"explode(sequence({r_lo}, {r_hi}))"))
-    joined = lhs.join(rhs, [*keys, "__slot"], how)
+    lhs = left.withColumn("__l_first", F.expr(l_lo)).withColumn("__slot", F.expr(f"explode_outer(sequence({l_lo}, {l_hi}))"))
+    rhs = right.withColumn("__r_first", F.expr(r_lo)).withColumn("__slot", F.expr(f"explode_outer(sequence({r_lo}, {r_hi}))"))
+    joined = lhs.join(rhs, [*keys, "__slot"])
     return joined.filter(F.expr(f"__slot = greatest(__l_first, __r_first) and ({condition})")).drop(
         "__slot", "__l_first", "__r_first"
     )

@@ -31,7 +31,11 @@ vocab AS (SELECT row_number() OVER (ORDER BY label) - 1 AS token_idx, label FROM
 
 
 def _chars(spark, d):
-    return T.table(spark, d, "documents").select(F.explode(F.split("text", "")).alias("char")).filter("char <> ''").distinct()
+    """Distinct characters; each text sends every character once."""
+    texts = T.spread(T.table(spark, d, "documents").select("text"), "text")
+    return (
+        texts.select(F.explode_outer(F.array_distinct(F.split("text", ""))).alias("char")).filter("char <> ''").distinct()
+    )
 
 
 def _vocab(spark, d):

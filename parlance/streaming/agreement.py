@@ -122,6 +122,7 @@ def step(state: Session, hyp: dict, settings: Settings, pending: bool = False) -
         if state.buffer and buffer_end - state.buffer[-1][1] < settings.edge:
             state.buffer = state.buffer[:-1]
         if buffer_end - state.offset > settings.trimming:
+            # Where no segment ends are given, the ends of the committed words stand in for them.
             _trim(words, buffer_end, hyp.get("segment_ends") or [w[1] for w in state.committed], state)
         if _final_ready(state, buffer_end, settings):
             out.append(_emission("final", state.finals))
@@ -195,15 +196,16 @@ class Agreement(StatefulProcessor):
         self._saved = handle.getValueState("session", "state string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = Session(**json.loads(self._saved.get()[0])) if self._saved.exists() else Session()
+        known = self._saved.exists()
+        state = Session(**json.loads(self._saved.get()[0])) if known else Session()
         hyps = sorted((row for batch in rows for row in _rows(batch)), key=lambda r: r["iter"])
         out, ended = [], False
         for i, row in enumerate(hyps):
             ended = ended or bool(row["eof"])
             out += [(key[0], row["iter"], *e) for e in step(state, row, self._settings, i + 1 < len(hyps))]
-        if ended:
+        if ended and known:
             self._saved.clear()
-        else:
+        elif not ended:
             self._saved.update((json.dumps(state.__dict__),))
         yield _frame(out)
 
