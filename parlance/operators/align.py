@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import transliterate
+from parlance.lineage import cut
 from parlance.operators.ordered import Layout, islands, lookup, prefix
 
 BLOCK = 4096
@@ -68,8 +69,10 @@ def shrink_tokens(tokens: DataFrame, budget: DataFrame, block: int = BLOCK, fan:
     the leading ones.
     """
     layout = Layout(("seg_id",), ("pos",), f"pos div {block}", fan)
-    twins = prefix(tokens, layout, __prev=("lag", "token_idx")).withColumn(
-        "__same", F.coalesce((F.col("__prev") == F.col("token_idx")).cast("long"), F.lit(0))
+    twins = cut(
+        prefix(tokens, layout, __prev=("lag", "token_idx")).select(
+            "seg_id", "pos", F.coalesce((F.col("__prev") == F.col("token_idx")).cast("long"), F.lit(0)).alias("__same")
+        )
     )
     running = prefix(twins, layout, __n=("sum", "1L"), __reps=("sum", "__same"))
     fits = F.expr("__n + 1 + __reps + __same <= frames")
@@ -96,9 +99,11 @@ def merge_words(segments: DataFrame, vocab: DataFrame, separator: str = " ", blo
     usual length has the single part 0.
     """
     layout = Layout(("seg_id",), ("start",), f"start div {block}", fan)
-    labelled = segments.join(vocab, "token_idx").withColumn("__sep", F.col("label") == separator)
-    placed = prefix(labelled, layout, __after=("max", "if(__sep, start, null)")).filter("not __sep").withColumn(
-        "__after", F.coalesce("__after", F.lit(-1))
+    labelled = lookup(segments, vocab, ["token_idx"], "inner").withColumn("__sep", F.col("label") == separator)
+    placed = cut(
+        prefix(labelled, layout, __after=("max", "if(__sep, start, null)")).filter("not __sep").withColumn(
+            "__after", F.coalesce("__after", F.lit(-1))
+        )
     )
     words = placed.groupBy("seg_id", "__after").agg(
         F.min("start").alias("start"),

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from parlance.functions.columns import contains_alphanum, round2
 from parlance.functions.fixed import GLUE_CHARS
+from parlance.lineage import cut
 from parlance.operators.ordered import Layout, lookup, prefix
 
 SEGMENTS_PER_PART = 1024
@@ -154,9 +155,11 @@ def monotonic_segments(segments: DataFrame, step: int = 1000, block: int = 4096,
     """
     layout = Layout(("session",), ("seg_idx",), f"seg_idx div {block}", fan)
     reach = f"if(end_ms > start_ms, end_ms, start_ms + {step}) - {step} * seg_idx"
-    bounded = prefix(segments, layout, __reach=("max", reach)).withColumn(
-        "__anchor",
-        F.expr(f"end_ms > start_ms and (__reach is null or end_ms > __reach + {step} * (seg_idx - 1))"),
+    bounded = cut(
+        prefix(segments.select("session", "seg_idx", "start_ms", "end_ms"), layout, __reach=("max", reach)).withColumn(
+            "__anchor",
+            F.expr(f"end_ms > start_ms and (__reach is null or end_ms > __reach + {step} * (seg_idx - 1))"),
+        )
     )
     numbered = prefix(bounded, layout, __stretch=("sum", "int(__anchor)"), __prev_end=("lag", "end_ms"))
     # An anchor's start still depends on the end before it, so each anchor closes a stretch.

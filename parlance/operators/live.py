@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from parlance.functions.columns import normalize_compare
 from parlance.functions.fixed import ASCII_PUNCTUATION, PROMPT_CHARS
+from parlance.lineage import cut
 from parlance.operators.ordered import Layout, islands, lookup, prefix
 
 WORD = "struct<start:double,end:double,word:string>"
@@ -95,7 +96,7 @@ def trim_point(segment_ends: Column, last_committed: Column) -> Column:
 # --- arrival logs -------------------------------------------------------------------------------
 
 
-def fill_silence(packets: DataFrame, length: int, factor: float = 1.5, slot: int = 3_600) -> DataFrame:
+def fill_silence(packets: DataFrame, length: int, factor: float = 1.5, slot: int = 600) -> DataFrame:
     """Insert packets of silence where nothing arrived for ``length * factor`` seconds.
 
     ``packets`` is (session, event_id, at_s). A missing packet is put at each timeout after the
@@ -110,7 +111,7 @@ def fill_silence(packets: DataFrame, length: int, factor: float = 1.5, slot: int
     return packets.select("session", "event_id", "at_s").unionByName(silent)
 
 
-def min_chunk_gate(packets: DataFrame, seconds: float, minimum: float, slot: int = 3_600) -> DataFrame:
+def min_chunk_gate(packets: DataFrame, seconds: float, minimum: float, slot: int = 600) -> DataFrame:
     """Buffered seconds per arrival, and the number of the processing run it triggers, if any."""
     layout = Layout(("session",), ("at_s", "event_id"), f"at_s div {slot}")
     counted = prefix(packets, layout, __n=("sum", "1L")).withColumn("buffered", (F.col("__n") + 1) * F.lit(seconds))
@@ -121,7 +122,7 @@ def min_chunk_gate(packets: DataFrame, seconds: float, minimum: float, slot: int
     ).drop("__n")
 
 
-def throttle_partials(emissions: DataFrame, interval: int, slot: int = 3_600) -> DataFrame:
+def throttle_partials(emissions: DataFrame, interval: int, slot: int = 600) -> DataFrame:
     """At most one partial per ``interval`` seconds; finals pass always and restart the clock.
 
     ``emissions`` is (session, event_id, at_s, kind, pending). A partial passes if none was sent
@@ -130,9 +131,11 @@ def throttle_partials(emissions: DataFrame, interval: int, slot: int = 3_600) ->
     pending) cut the session into short independent runs, and only those are followed in order.
     """
     layout = Layout(("session",), ("at_s", "event_id"), f"at_s div {slot}")
-    marked = prefix(emissions, layout, __prev_at=("lag", "at_s"), __prev_kind=("lag", "kind")).withColumn(
-        "__sure",
-        F.expr(f"kind = 'final' or pending = 0 or __prev_at is null or __prev_kind = 'final' or at_s - __prev_at > {interval}"),
+    sure = f"kind = 'final' or pending = 0 or __prev_at is null or __prev_kind = 'final' or at_s - __prev_at > {interval}"
+    marked = cut(
+        prefix(emissions, layout, __prev_at=("lag", "at_s"), __prev_kind=("lag", "kind")).select(
+            "session", "event_id", "at_s", "kind", F.expr(sure).alias("__sure")
+        )
     )
     numbered = prefix(marked, layout, __run=("sum", "int(__sure)")).withColumn(
         "__run", F.col("__run") + F.col("__sure").cast("int")
@@ -196,7 +199,7 @@ def words_to_sentences(words: DataFrame) -> DataFrame:
     )
 
 
-def idle_sessions(packets: DataFrame, gap: int, slot: int = 3_600) -> DataFrame:
+def idle_sessions(packets: DataFrame, gap: int, slot: int = 600) -> DataFrame:
     """Stretches of activity; ``gap`` seconds without a message close one."""
     layout = Layout(("session",), ("at_s", "event_id"), f"at_s div {slot}")
     runs = islands(packets, layout, ["at_s"], f"cur.at_s - prev.at_s >= {gap}", n=("sum", "1L"))

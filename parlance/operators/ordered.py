@@ -179,9 +179,10 @@ def _stitch(edges: DataFrame, group: list[str], keys: list[str], breaks: str, ag
 def lookup(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left", salts: int = 16) -> DataFrame:
     """Join one row per key back to many rows without putting a large key into one task.
 
-    The small side is repeated ``salts`` times and rows spread over the copies, so a key with a
-    third of all rows is cut into ``salts`` pieces; Spark still broadcasts the small side instead
-    when its measured size allows.
+    No hint is given: Spark broadcasts the small side when its measured size allows. Otherwise the
+    small side is repeated ``salts`` times and rows spread over the copies, so a key with a third of
+    all rows is cut into ``salts`` pieces before the shuffle, and adaptive execution splits further
+    any piece that is still far above the median.
     """
     copies = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.lineage import cut
 from parlance.operators.ordered import Layout, islands, lookup, overlap_join, prefix
 
 FRAMES_PER_BLOCK = 4096
@@ -137,7 +138,7 @@ def speech_only(frames: DataFrame, segments: DataFrame, block: int = FRAMES_PER_
     Segments must be sorted and disjoint. Segment starts and frames are laid in one order, each
     frame takes the latest start before it, so no frame is compared with every segment.
     """
-    mapped = speech_map(segments, block, fan)
+    mapped = cut(speech_map(segments, block, fan))
     marks = mapped.selectExpr(
         "session", "start_f as f", "0 as kind", "cast(null as double) as value", "struct(start_f, end_f, ioffset) as seg"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import columns
 from parlance.functions.text import remove_punctuation
+from parlance.lineage import cut
 from parlance.operators import assemble as A
 from parlance.plans import ctes as C
 from parlance.plans.registry import register
@@ -67,10 +68,10 @@ SELECT session, count(*) FILTER (start_ms > duration) AS late_starts, count(*) F
        count(*) FILTER (end_ms < start_ms) AS reversed
 FROM w JOIN dur USING (session) GROUP BY session""")
 def timestamp_warnings(spark, d):
-    rows = T.session_words(spark, d).selectExpr(
+    rows = cut(T.session_words(spark, d).selectExpr(
         "conv_id as session", "turn", "pos", "start_ms",
         "case when pos % 17 = 3 then start_ms - 10 when pos % 17 = 4 then start_ms else end_ms end as end_ms",
-    )
+    ))
     durations = rows.groupBy("session").agg((F.max("end_ms") - 3000).alias("duration"))
     return A.timestamp_warnings(rows, durations).groupBy("session").agg(
         F.count_if("late_start").alias("late_starts"),

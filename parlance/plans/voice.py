@@ -128,10 +128,10 @@ tails AS (SELECT session, max(oend) AS total, arg_max(ioffset, seg_idx) AS off F
 SELECT * FROM best UNION ALL
 SELECT w.session, turn, pos, off + t, off + t2 FROM w JOIN tails USING (session) WHERE least(t, t2) > total""")
 def remap_timestamps(spark, d):
-    words = T.session_words(spark, d).select(
+    words = cut(T.session_words(spark, d).select(
         F.col("conv_id").alias("session"), "turn", F.col("pos").cast("long").alias("pos"),
         F.col("start_ms").alias("t"), F.col("end_ms").alias("t2"),
-    )
+    ))
     return voice.remap_timestamps(words, _map_ms(spark, d)).select("session", "turn", "pos", "start_ms", "end_ms")
 
 
@@ -142,9 +142,9 @@ SELECT session, turn, pos, least(greatest(ioffset + t, a), b) AS original FROM (
 UNION ALL
 SELECT w.session, turn, pos, off + t FROM w JOIN tails USING (session) WHERE t > total""")
 def remap_point(spark, d):
-    points = T.session_words(spark, d).select(
+    points = cut(T.session_words(spark, d).select(
         F.col("conv_id").alias("session"), "turn", F.col("pos").cast("long").alias("pos"), F.col("start_ms").alias("t")
-    )
+    ))
     return voice.remap_points(points, _map_ms(spark, d)).select("session", "turn", "pos", "original")
 
 

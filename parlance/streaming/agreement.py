@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from parlance.functions.fixed import ASCII_PUNCTUATION, BUFFER_TRIMMING_S, PAUSE_FOR_FINAL_S
 
@@ -159,14 +159,17 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["session", "iter", "kind", "start", "end", "text"])
 
 
+def _needed(hyps: DataFrame) -> DataFrame:
+    optional = [c for c in ("at", "segment_ends") if c in hyps.columns]
+    return hyps.select("session", "iter", "words", "buffer_end", "eof", *optional)
+
+
 def agree_batch(hyps: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Emissions of stored hypotheses.
 
     Rows are spread by session and sorted inside the partitions; a task goes through them once
     and holds a single session's state, however long the session is.
     """
-    columns = ["session", "iter", "words", "buffer_end", "eof", *[c for c in ("at", "segment_ends") if c in hyps.columns]]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, held = None, Session(), None
         for batch in batches:
@@ -182,39 +185,30 @@ def agree_batch(hyps: DataFrame, settings: Settings = Settings()) -> DataFrame:
         if held is not None:
             yield _frame([(held["session"], held["iter"], *e) for e in step(state, held, settings)])
 
-    spread = hyps.select(*columns).repartition("session").sortWithinPartitions("session", "iter")
+    spread = _needed(hyps).repartition("session").sortWithinPartitions("session", "iter")
     return spread.mapInPandas(run, EMISSION_SCHEMA)
 
 
-class Agreement(StatefulProcessor):
-    """The same steps on a stream; one JSON value per session is the whole state."""
-
-    def __init__(self, settings: Settings = Settings()):
-        self._settings = settings
+def agree_stream(hyps: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Emissions of a stream of hypotheses, append mode.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._saved = handle.getValueState("session", "state string")
+    The state of a session is one JSON value that travels with its rows in Arrow batches, which
+    suits many short sessions. A session ends with its ``eof`` row and its state goes with it.
+    """
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self._saved.exists()
-        state = Session(**json.loads(self._saved.get()[0])) if known else Session()
-        hyps = sorted((row for batch in rows for row in _rows(batch)), key=lambda r: r["iter"])
-        out, ended = [], False
-        for i, row in enumerate(hyps):
-            ended = ended or bool(row["eof"])
-            out += [(key[0], row["iter"], *e) for e in step(state, row, self._settings, i + 1 < len(hyps))]
-        if ended and known:
-            self._saved.clear()
-        elif not ended:
-            self._saved.update((json.dumps(state.__dict__),))
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], saved: GroupState) -> Iterator[pd.DataFrame]:
+        state = Session(**json.loads(saved.get[0])) if saved.exists else Session()
+        rows = sorted((row for batch in batches for row in _rows(batch)), key=lambda r: r["iter"])
+        out = []
+        for i, row in enumerate(rows):
+            out += [(key[0], row["iter"], *e) for e in step(state, row, settings, i + 1 < len(rows))]
+        if any(row["eof"] for row in rows):
+            if saved.exists:
+                saved.remove()
+        else:
+            saved.update((json.dumps(state.__dict__),))
         yield _frame(out)
 
-    def close(self) -> None:
-        pass
-
-
-def agree_stream(hyps: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Emissions of a stream of hypotheses, append mode."""
-    return hyps.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=Agreement(settings), outputStructType=EMISSION_SCHEMA, outputMode="Append", timeMode="None"
+    return _needed(hyps).groupBy("session").applyInPandasWithState(
+        advance, EMISSION_SCHEMA, "state string", "append", "NoTimeout"
     )
