@@ -124,12 +124,14 @@ def frames_to_seconds(words: DataFrame, segments: DataFrame, originals: DataFram
     """Frame times to seconds; the original words are kept only where their count matches.
 
     ``segments`` is (seg_id, samples, frames, offset), ``originals`` (seg_id, word_idx, original).
-    The frame count enters with one added, as the alignment grid has one more row than frames.
+    The frame count enters with one added, as the alignment grid has one more row than frames. A
+    word in several parts keeps them, with the same times.
     """
     layout = Layout(("seg_id",), ("start",), f"start div {block}")
-    numbered = prefix(words.filter("part = 0"), layout, word_idx=("sum", "1L"))
+    index = prefix(words.filter("part = 0").select("seg_id", "start"), layout, word_idx=("sum", "1L"))
+    numbered = words.join(index, ["seg_id", "start"])
     counts = (
-        numbered.groupBy("seg_id").agg(F.count("*").alias("__aligned"))
+        index.groupBy("seg_id").agg(F.count("*").alias("__aligned"))
         .join(originals.groupBy("seg_id").agg(F.count("*").alias("__given")), "seg_id", "full")
         .join(segments, "seg_id")
         .withColumn("mismatch", ~F.col("__aligned").eqNullSafe(F.col("__given")))
@@ -140,5 +142,5 @@ def frames_to_seconds(words: DataFrame, segments: DataFrame, originals: DataFram
         .withColumn("start_s", F.expr("start * __ratio + offset"))
         .withColumn("end_s", F.expr("end * __ratio + offset"))
         .withColumn("word", F.when(F.col("mismatch"), F.col("word")).otherwise(F.col("original")))
-        .select("seg_id", "word_idx", "word", "start_s", "end_s", "mismatch")
+        .select("seg_id", "word_idx", "part", "word", "start_s", "end_s", "mismatch")
     )

@@ -16,6 +16,7 @@ from parlance.functions.columns import contains_alphanum, round2
 from parlance.functions.fixed import GLUE_CHARS
 from parlance.lineage import cut
 from parlance.operators.ordered import Layout, lookup, prefix
+from parlance.operators.voice import remap_timestamps
 
 SEGMENTS_PER_PART = 1024
 
@@ -217,6 +218,20 @@ def flatten_words(segments: DataFrame) -> DataFrame:
     )
 
 
+def on_timeline(tokens: DataFrame, mapped: DataFrame, timeline: str = "original") -> DataFrame:
+    """Tokens timed in cut audio, on the timeline asked for: ``speech`` or ``original``.
+
+    ``mapped`` is a speech map in the tokens' time unit.
+    """
+    if timeline == "speech":
+        return tokens
+    if timeline != "original":
+        raise ValueError(f"unknown timeline {timeline!r}")
+    keys = ["session", "seg_idx", "pos"]
+    times = remap_timestamps(tokens.selectExpr(*keys, "start_ms as t", "end_ms as t2"), mapped).drop("t", "t2")
+    return tokens.drop("start_ms", "end_ms").join(times, keys)
+
+
 def transcript(tokens: DataFrame, segments: DataFrame) -> DataFrame:
     """Tokens and segment log-probabilities to one transcript row per session and part.
 

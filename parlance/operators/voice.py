@@ -159,10 +159,10 @@ def remap_timestamps(words: DataFrame, mapped: DataFrame, slot: int = 30_000) ->
     Words after all speech keep the last offset.
     """
     spans = words.withColumn("__lo", F.least("t", "t2")).withColumn("__hi", F.greatest("t", "t2"))
-    side = mapped.select("session", "start_f", "end_f", "obeg", "oend", "ioffset", "seg_idx")
+    side = mapped.select("session", "start_f", "end_f", "obeg", "oend", "ioffset", F.col("seg_idx").alias("__seg"))
     pairs = overlap_join(
         spans, side, ["session"], ("__lo", "__hi"), ("obeg", "oend"),
-        "__lo <= oend and (seg_idx = 0 or obeg < __hi)", slot,
+        "__lo <= oend and (__seg = 0 or obeg < __hi)", slot,
     )
     clamp = "least(greatest(ioffset + {t}, start_f), end_f)"
     best = (
@@ -171,7 +171,7 @@ def remap_timestamps(words: DataFrame, mapped: DataFrame, slot: int = 30_000) ->
         .groupBy(*words.columns)
         .agg(
             F.min(
-                F.expr("struct(abs(abs(t2 - t) - abs(end_ms - start_ms)) as cost, seg_idx, start_ms, end_ms)")
+                F.expr("struct(abs(abs(t2 - t) - abs(end_ms - start_ms)) as cost, __seg, start_ms, end_ms)")
             ).alias("best")
         )
         .select(*words.columns, "best.start_ms", "best.end_ms")
@@ -189,9 +189,9 @@ def remap_timestamps(words: DataFrame, mapped: DataFrame, slot: int = 30_000) ->
 
 def remap_points(points: DataFrame, mapped: DataFrame, slot: int = 30_000) -> DataFrame:
     """One cut time ``t`` to the original: the first segment that ends at or after it."""
-    side = mapped.select("session", "start_f", "end_f", "obeg", "oend", "ioffset", "seg_idx")
+    side = mapped.select("session", "start_f", "end_f", "obeg", "oend", "ioffset", F.col("seg_idx").alias("__seg"))
     inside = overlap_join(
-        points, side, ["session"], ("t", "t"), ("obeg", "oend"), "t <= oend and (seg_idx = 0 or obeg < t)", slot
+        points, side, ["session"], ("t", "t"), ("obeg", "oend"), "t <= oend and (__seg = 0 or obeg < t)", slot
     ).selectExpr(*points.columns, "least(greatest(ioffset + t, start_f), end_f) as original")
     tails = mapped.groupBy("session").agg(
         F.max("oend").alias("__total"), F.max_by("ioffset", "seg_idx").alias("__offset")

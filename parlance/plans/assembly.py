@@ -8,6 +8,7 @@ from parlance.functions import columns
 from parlance.functions.text import remove_punctuation
 from parlance.lineage import cut
 from parlance.operators import assemble as A
+from parlance.operators import voice
 from parlance.plans import ctes as C
 from parlance.plans.registry import register
 from parlance.sources import tables as T
@@ -215,3 +216,23 @@ def transcript(spark, d):
     return A.transcript(T.tokens(spark, d), T.segments(spark, d).select("session", "seg_idx", "avg_logprob")).select(
         "session", "part", "text", "start_ms", "end_ms", "n_words", "confidence", "mean_word_conf"
     )
+
+
+@register("transcript_original_timeline", "WITH " + C.GLUED.replace("RECURSIVE turns AS", "RECURSIVE " + C.SPEECH_MAP.lstrip() + ",\nturns AS", 1) + """,
+ms AS (SELECT session, seg_idx AS sid, start_f * 1000 AS a, end_f * 1000 AS b, obeg * 1000 AS obeg, oend * 1000 AS oend, ioffset * 1000 AS ioffset FROM smap),
+cand AS (SELECT t.session, t.seg_idx, t.pos, sid, t.start_ms AS t0, t.end_ms AS t2, least(greatest(ioffset + t.start_ms, a), b) AS x0, least(greatest(ioffset + t.end_ms, a), b) AS x1
+  FROM tokens t JOIN ms ON t.session = ms.session AND least(t.start_ms, t.end_ms) <= oend AND (sid = 0 OR obeg < greatest(t.start_ms, t.end_ms))),
+tails AS (SELECT session, max(oend) AS total, arg_max(ioffset, sid) AS off FROM ms GROUP BY session),
+placed AS (
+  SELECT session, seg_idx, pos, x0 AS s, x1 AS e FROM cand
+  QUALIFY row_number() OVER (PARTITION BY session, seg_idx, pos ORDER BY abs(abs(t2 - t0) - abs(x1 - x0)), sid) = 1
+  UNION ALL SELECT t.session, seg_idx, pos, off + start_ms, off + end_ms FROM tokens t JOIN tails USING (session) WHERE least(start_ms, end_ms) > total)
+SELECT session, seg_idx, word_idx::BIGINT AS word_idx, min(s) AS start_ms, max(e) AS end_ms
+FROM walk JOIN seq USING (session, seg_idx, n) JOIN placed USING (session, seg_idx, pos) GROUP BY 1, 2, 3""")
+def transcript_original_timeline(spark, d):
+    """Words glued from tokens whose times were moved from the cut audio back to the recording."""
+    segments = cut(voice.vad_segments(T.frames(spark, d), 50, 12, 2))
+    scaled = [(F.col(c) * 1000).alias(c) for c in ("start_f", "end_f", "obeg", "oend", "ioffset")]
+    mapped = cut(voice.speech_map(segments).select("session", "seg_idx", *scaled))
+    tokens = cut(A.on_timeline(cut(T.tokens(spark, d)), mapped))
+    return A.glue_punctuation(tokens).select("session", "seg_idx", "word_idx", "start_ms", "end_ms")
