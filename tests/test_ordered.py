@@ -63,3 +63,22 @@ def test_overlap_join(spark):
     b = spark.createDataFrame([(rng.randint(0, 2), i, x, x + rng.randint(0, 90)) for i, x in enumerate(rng.choices(range(500), k=80))], "k int, j int, c long, d long")
     got = overlap_join(a, b, ["k"], ("a", "b"), ("c", "d"), "a <= d and c <= b", 16).select("k", "i", "j")
     same(got, a.join(b, "k").filter("a <= d and c <= b").select("k", "i", "j"))
+
+
+def test_one_key_with_most_rows(spark):
+    """A key that holds nearly everything is worked on in many blocks, with the right totals."""
+    n = 200_000
+    hot = spark.range(n).selectExpr("if(id % 10 = 0, id div 10, 0L) as s", "id as f", "1L as v")
+    layout = Layout(("s",), ("f",), "f div 256", 16)
+    total = prefix(hot, layout, run=("sum", "v")).filter("s = 0")
+    assert total.agg(F.max("run"), F.count("*"), F.countDistinct("run")).first()[1:] == (n * 9 // 10 + 1, n * 9 // 10 + 1)
+    runs = islands(hot.filter("s = 0"), layout, ["f"], "cur.f - prev.f > 2", n=("sum", "1L"))
+    assert runs.agg(F.count("*"), F.sum("n")).first()[:] == (1, n * 9 // 10 + 1)
+
+
+def test_cut_keeps_the_configured_folder(spark):
+    from parlance.lineage import cut, shared_dir
+
+    before = shared_dir(spark)
+    assert cut(spark.range(5)).count() == 5
+    assert shared_dir(spark) == before == spark.sparkContext.getCheckpointDir()
