@@ -230,8 +230,11 @@ def counted_strings(groups: DataFrame, span: int) -> DataFrame:
                 yield batch_of(schema, [one.view(np.int64), np.ascontiguousarray(two).view(np.int64), [key] * n, [pos] * n, at, [alone] * n])
 
     strings = stored(groups.mapInArrow(run, "h1 long, h2 long, key binary, pos long, at long, alone boolean"), "strings")
-    many = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    hit = strings.filter("alone").join(many, ["h1", "h2"], "left_semi")
+    # a string may hold several of the grams and so come several times from one place
+    place = F.struct("key", "at")
+    many = strings.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("h1", "h2")
+    # read back from files, so that the join meets plain shuffles and a string of very many places can be split
+    hit = strings.filter("alone").join(stored(many, "repeated-strings"), ["h1", "h2"], "left_semi")
     return hit.groupBy("key", "pos").agg(F.min("at").alias("a"), (F.max("at") + span).alias("b")).select("key", "a", "b")
 
 
