@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -29,6 +30,8 @@ def make_spark():
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):  # one machine: any folder is shared
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='parlance-tests-')}")
     return spark
 
 
