@@ -1,13 +1,16 @@
 """From recognizer output to transcripts.
 
 Segments are ``(session, seg_idx)``; words of one segment come from one recognizer segment and are
-few, sessions may be of any length. Text of a session is put together in *parts* of
-``SEGMENTS_PER_PART`` segments: a normal session has one part, an endless one has many, and the
-parts in order give the whole text.
+few, sessions may be of any length. Scores, counts and times are per session, whatever its length.
+Text of a session is put together in *parts* of ``SEGMENTS_PER_PART`` segments: a normal session
+has one part, an endless one has many, and the parts in order give the whole text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -162,25 +165,32 @@ def monotonic_segments(segments: DataFrame, step: int = 1000, block: int = 4096,
             F.expr(f"end_ms > start_ms and (__reach is null or end_ms > __reach + {step} * (seg_idx - 1))"),
         )
     )
-    numbered = prefix(bounded, layout, __stretch=("sum", "int(__anchor)"), __prev_end=("lag", "end_ms"))
     # An anchor's start still depends on the end before it, so each anchor closes a stretch.
-    fold = f"""
-    aggregate(rows, cast(array() as array<struct<seg_idx:bigint,start_ms:bigint,end_ms:bigint>>), (acc, r) ->
-      concat(acc, array(struct(
-        r.seg_idx as seg_idx,
-        greatest(r.start_ms, coalesce(element_at(acc, -1).end_ms, carry, r.start_ms)) as start_ms,
-        if(r.end_ms > greatest(r.start_ms, coalesce(element_at(acc, -1).end_ms, carry, r.start_ms)), r.end_ms,
-           greatest(r.start_ms, coalesce(element_at(acc, -1).end_ms, carry, r.start_ms)) + {step}) as end_ms))))
-    """
-    return (
-        numbered.groupBy("session", "__stretch")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("seg_idx", "start_ms", "end_ms"))).alias("rows"),
-            F.min_by("__prev_end", "seg_idx").alias("carry"),
-        )
-        .withColumn("out", F.explode(F.expr(fold.replace("element_at(acc, -1)", "try_element_at(acc, -1)"))))
-        .select("session", "out.seg_idx", "out.start_ms", "out.end_ms")
+    numbered = prefix(bounded, layout, __stretch=("sum", "int(__anchor)"), __prev_end=("lag", "end_ms")).select(
+        "session", "__stretch", "seg_idx", "start_ms", "end_ms", "__prev_end"
     )
+    kind = dict(segments.dtypes)["session"]
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come stretch by stretch, in order; one end is all that is carried on."""
+        at, end = None, None
+        for batch in batches:
+            starts, ends = [], []
+            for session, stretch, _, a, b, before in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if (session, stretch) != at:
+                    at, end = (session, stretch), before
+                a = a if end is None else max(a, end)
+                end = b if b > a else a + step
+                starts.append(a)
+                ends.append(end)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
+                names=["session", "seg_idx", "start_ms", "end_ms"],
+            )
+
+    rows = numbered.withColumns({c: F.col(c).cast("long") for c in ("start_ms", "end_ms", "__prev_end")})
+    spread = rows.repartition("session", "__stretch").sortWithinPartitions("session", "__stretch", "seg_idx")
+    return spread.mapInArrow(follow, f"session {kind}, seg_idx {dict(segments.dtypes)['seg_idx']}, start_ms long, end_ms long")
 
 
 def glue_word_times(words: DataFrame) -> DataFrame:
@@ -233,12 +243,15 @@ def on_timeline(tokens: DataFrame, mapped: DataFrame, timeline: str = "original"
 
 
 def transcript(tokens: DataFrame, segments: DataFrame) -> DataFrame:
-    """Tokens and segment log-probabilities to one transcript row per session and part.
+    """Tokens and segment log-probabilities to transcripts: text and words per session and part.
 
-    ``tokens`` as in :func:`glue_punctuation`, ``segments`` (session, seg_idx, avg_logprob).
+    ``tokens`` as in :func:`glue_punctuation`, ``segments`` (session, seg_idx, avg_logprob). Every
+    segment counts, also one without words: it has part in the confidence and no text. Confidence,
+    mean word confidence, number of words and time bounds are those of the whole session, on each
+    of its parts; a session without words has null bounds and no mean.
     """
     words = glue_punctuation(tokens).withColumn("conf", word_confidence())
-    segs = words.groupBy("session", "seg_idx").agg(
+    spoken = words.groupBy("session", "seg_idx").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -251,19 +264,19 @@ def transcript(tokens: DataFrame, segments: DataFrame) -> DataFrame:
         F.sum(F.rint(F.col("conf") * 100).cast("long")).alias("conf_pct"),
         F.count("*").alias("n_words"),
     )
-    joined = segs.join(segments, ["session", "seg_idx"])
-    return (
-        joined.groupBy("session", part_of().alias("part"))
-        .agg(
-            F.array_sort(F.collect_list(F.struct("seg_idx", "ws"))).alias("__s"),
-            F.min("start_ms").alias("start_ms"),
-            F.max("end_ms").alias("end_ms"),
-            F.sum("n_words").alias("n_words"),
-            F.sum("conf_pct").alias("__conf"),
-            round2(F.avg(F.exp("avg_logprob"))).alias("confidence"),
-        )
+    every = cut(segments.select("session", "seg_idx", "avg_logprob").join(spoken, ["session", "seg_idx"], "left"))
+    scores = every.groupBy("session").agg(
+        F.min("start_ms").alias("start_ms"),
+        F.max("end_ms").alias("end_ms"),
+        F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"),
+        round2(F.avg(F.exp("avg_logprob"))).alias("confidence"),
+        round2(F.sum("conf_pct") / F.sum("n_words") / 100).alias("mean_word_conf"),
+    )
+    parts = (
+        every.groupBy("session", part_of().alias("part"))
+        .agg(F.array_sort(F.collect_list(F.when(F.col("ws").isNotNull(), F.struct("seg_idx", "ws")))).alias("__s"))
         .withColumn("words", F.flatten(F.transform("__s", lambda s: s["ws"])))
         .withColumn("text", F.array_join(F.transform("words", lambda w: w["word"]), " "))
-        .withColumn("mean_word_conf", round2(F.col("__conf") / F.col("n_words") / 100))
-        .drop("__s", "__conf")
+        .drop("__s")
     )
+    return parts.join(scores, "session")

@@ -7,6 +7,9 @@ operators on arrival logs; :mod:`parlance.streaming.agreement` runs them togethe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,24 +99,28 @@ def trim_point(segment_ends: Column, last_committed: Column) -> Column:
 # --- arrival logs -------------------------------------------------------------------------------
 
 
-def fill_silence(packets: DataFrame, length: int, factor: float = 1.5, slot: int = 600) -> DataFrame:
+def fill_silence(packets: DataFrame, length: float, factor: float = 1.5, slot: int = 600) -> DataFrame:
     """Insert packets of silence where nothing arrived for ``length * factor`` seconds.
 
-    ``packets`` is (session, event_id, at_s). A missing packet is put at each timeout after the
-    last arrival.
+    ``packets`` is (session, event_id, at_s), seconds whole or with a fraction. A missing packet is
+    put at each timeout after the last arrival; times stay whole if arrivals and timeout are.
     """
-    layout = Layout(("session",), ("at_s", "event_id"), f"at_s div {slot}")
-    wait = int(length * factor)
+    layout = Layout(("session",), ("at_s", "event_id"), f"cast(floor(at_s / {slot}) as bigint)")
+    wait = length * factor
+    kind = dict(packets.dtypes)["at_s"]
+    if kind not in ("int", "bigint") or wait != int(wait):
+        kind = "double"
     gaps = prefix(packets, layout, __prev=("lag", "at_s")).filter(F.col("at_s") - F.col("__prev") > wait)
-    silent = gaps.select(
-        "session", F.expr(f"explode(sequence(__prev + {wait}, at_s - 1, {wait}L))").alias("at_s")
-    ).select("session", F.lit(None).cast("long").alias("event_id"), "at_s")
-    return packets.select("session", "event_id", "at_s").unionByName(silent)
+    steps = f"sequence(1L, cast(ceil((at_s - __prev) / {wait}D) as bigint) - 1)"
+    silent = gaps.select("session", "__prev", F.expr(f"explode({steps})").alias("i")).select(
+        "session", F.lit(None).cast("long").alias("event_id"), F.expr(f"cast(__prev + i * {wait}D as {kind})").alias("at_s")
+    )
+    return packets.select("session", "event_id", F.col("at_s").cast(kind).alias("at_s")).unionByName(silent)
 
 
 def min_chunk_gate(packets: DataFrame, seconds: float, minimum: float, slot: int = 600) -> DataFrame:
     """Buffered seconds per arrival, and the number of the processing run it triggers, if any."""
-    layout = Layout(("session",), ("at_s", "event_id"), f"at_s div {slot}")
+    layout = Layout(("session",), ("at_s", "event_id"), f"cast(floor(at_s / {slot}) as bigint)")
     counted = prefix(packets, layout, __n=("sum", "1L")).withColumn("buffered", (F.col("__n") + 1) * F.lit(seconds))
     # The buffer only grows, so runs are counted from the first arrival that fills it.
     first = -(-minimum // seconds)
@@ -122,15 +129,17 @@ def min_chunk_gate(packets: DataFrame, seconds: float, minimum: float, slot: int
     ).drop("__n")
 
 
-def throttle_partials(emissions: DataFrame, interval: int, slot: int = 600) -> DataFrame:
+def throttle_partials(emissions: DataFrame, interval: float, slot: int = 600) -> DataFrame:
     """At most one partial per ``interval`` seconds; finals pass always and restart the clock.
 
-    ``emissions`` is (session, event_id, at_s, kind, pending). A partial passes if none was sent
-    since the last final, if the last one is older than the interval, or if nothing is pending.
-    Rows that pass whatever came before (finals, rows after a long silence or with nothing
-    pending) cut the session into short independent runs, and only those are followed in order.
+    ``emissions`` is (session, event_id, at_s, kind, pending), seconds whole or with a fraction. A
+    partial passes if none was sent since the last final, if the last one is older than the
+    interval, or if nothing is pending. Rows that pass whatever came before (finals, rows after a
+    long silence or with nothing pending) cut the session into independent runs. Runs are followed
+    in order through sorted partitions, with one time carried on, so a burst of any length takes
+    linear time and no memory.
     """
-    layout = Layout(("session",), ("at_s", "event_id"), f"at_s div {slot}")
+    layout = Layout(("session",), ("at_s", "event_id"), f"cast(floor(at_s / {slot}) as bigint)")
     sure = f"kind = 'final' or pending = 0 or __prev_at is null or __prev_kind = 'final' or at_s - __prev_at > {interval}"
     marked = cut(
         prefix(emissions, layout, __prev_at=("lag", "at_s"), __prev_kind=("lag", "kind")).select(
@@ -140,18 +149,22 @@ def throttle_partials(emissions: DataFrame, interval: int, slot: int = 600) -> D
     numbered = prefix(marked, layout, __run=("sum", "int(__sure)")).withColumn(
         "__run", F.col("__run") + F.col("__sure").cast("int")
     )
-    # Within a run only the first row is sure; the rest pass one interval after the last that did.
-    fold = f"""
-    aggregate(rows, struct(cast(null as bigint) as sent, cast(array() as array<bigint>) as passed), (acc, r) ->
-      if(r.sure or r.at_s - acc.sent > {interval},
-         struct(r.at_s as sent, concat(acc.passed, array(r.event_id)) as passed), acc)).passed"""
-    return (
-        numbered.groupBy("session", "__run")
-        .agg(F.array_sort(F.collect_list(F.struct("at_s", "event_id", F.col("__sure").alias("sure"), "kind"))).alias("rows"))
-        .select("session", F.explode("rows").alias("r"), F.expr(fold).alias("passed"))
-        .filter(F.array_contains("passed", F.col("r.event_id")))
-        .select("session", "r.event_id", "r.at_s", "r.kind")
-    )
+    names = ["session", "event_id", "at_s", "kind"]
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Within a run only the first row is sure; the rest pass one interval after the last that did.
+        sent = None
+        for batch in batches:
+            passed = []
+            for at, first in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                go = first or at - sent > interval
+                sent = at if go else sent
+                passed.append(go)
+            yield batch.select(names).filter(pa.array(passed, pa.bool_()))
+
+    spread = numbered.select(*names, "__sure", "__run").repartition("session", "__run")
+    ordered = spread.sortWithinPartitions("session", "__run", "at_s", "event_id")
+    return ordered.mapInArrow(follow, emissions.select(*names).schema)
 
 
 def prompt_suffix(words: DataFrame, cuts: DataFrame, chars: int = PROMPT_CHARS) -> DataFrame:
@@ -201,7 +214,7 @@ def words_to_sentences(words: DataFrame) -> DataFrame:
 
 def idle_sessions(packets: DataFrame, gap: int, slot: int = 600) -> DataFrame:
     """Stretches of activity; ``gap`` seconds without a message close one."""
-    layout = Layout(("session",), ("at_s", "event_id"), f"at_s div {slot}")
+    layout = Layout(("session",), ("at_s", "event_id"), f"cast(floor(at_s / {slot}) as bigint)")
     runs = islands(packets, layout, ["at_s"], f"cur.at_s - prev.at_s >= {gap}", n=("sum", "1L"))
     return runs.selectExpr("session", "head.at_s as start_s", f"tail.at_s + {gap} as end_s", "n")
 

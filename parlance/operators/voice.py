@@ -30,6 +30,15 @@ def downmix(channels: Column) -> Column:
     return F.transform(total, lambda x: x / F.size(channels))
 
 
+def split_by_channels(audio: DataFrame, most: int = 2, channels: str = "channels") -> tuple[DataFrame, DataFrame]:
+    """Rows of up to ``most`` channels, and the quarantined rest with the reason."""
+    n = F.col(channels)
+    bad = audio.filter(~F.coalesce(n.between(1, most), F.lit(False)))
+    return audio.filter(n.between(1, most)), bad.withColumn(
+        "error", F.concat(F.lit(f"more than {most} channels or none: "), F.coalesce(n.cast("string"), F.lit("null")))
+    )
+
+
 def split_by_rate(audio: DataFrame, rate: int = 16000) -> tuple[DataFrame, DataFrame]:
     """Rows that can be decoded, and the quarantined rest with the reason."""
     good = audio.filter(F.col("rate") == rate)
@@ -63,19 +72,31 @@ def vad_segments(
     min_len: int = 2,
     block: int = FRAMES_PER_BLOCK,
     fan: int = 1024,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
-    """Runs of active frames; gaps of up to ``max_silence`` frames are bridged, short runs dropped."""
+    """Runs of active frames; gaps of up to ``max_silence`` frames are bridged, short runs dropped.
+
+    With ``lengths`` (session, length in frames) the silence bridged in a clip stays below
+    ``SILENCE_SHARE`` of its own length.
+    """
     active = frames.filter(F.col("value") >= threshold).select("session", "f")
     layout = Layout(("session",), ("f",), f"f div {block}", fan)
-    runs = islands(active, layout, ["f"], f"cur.f - prev.f - 1 > {max_silence}")
+    if lengths is None:
+        runs = islands(active, layout, ["f"], f"cur.f - prev.f - 1 > {max_silence}")
+    else:
+        capped = lookup(active, lengths.select("session", capped_silence(max_silence, F.col("length")).alias("bridge")), ["session"], "inner")
+        runs = islands(capped, layout, ["f", "bridge"], "cur.f - prev.f - 1 > cur.bridge")
     return runs.selectExpr("session", "head.f as start_f", "tail.f + 1 as end_f").filter(
         F.col("end_f") - F.col("start_f") >= min_len
     )
 
 
-def capped_silence(min_silence_s: float, duration_s: float) -> float:
-    """Silence tolerance never reaches the length of the clip."""
-    return min(min_silence_s, 0.95 * duration_s)
+SILENCE_SHARE = 0.95
+
+
+def capped_silence(silence: float, length: Column) -> Column:
+    """Silence tolerance never reaches the length of the clip; both in one unit."""
+    return F.least(F.lit(float(silence)), SILENCE_SHARE * length)
 
 
 def whole_clip(frames: DataFrame) -> DataFrame:
@@ -132,11 +153,14 @@ def speech_map(segments: DataFrame, block: int = FRAMES_PER_BLOCK, fan: int = 10
     )
 
 
-def speech_only(frames: DataFrame, segments: DataFrame, block: int = FRAMES_PER_BLOCK, fan: int = 1024) -> DataFrame:
+def speech_only(
+    frames: DataFrame, segments: DataFrame, block: int = FRAMES_PER_BLOCK, fan: int = 1024, avoid_empty: bool = False
+) -> DataFrame:
     """Frames inside a segment, renumbered ``g`` in the cut audio.
 
     Segments must be sorted and disjoint. Segment starts and frames are laid in one order, each
-    frame takes the latest start before it, so no frame is compared with every segment.
+    frame takes the latest start before it, so no frame is compared with every segment. With
+    ``avoid_empty`` a session without any segment keeps all of its frames.
     """
     mapped = cut(speech_map(segments, block, fan))
     marks = mapped.selectExpr(
@@ -148,7 +172,11 @@ def speech_only(frames: DataFrame, segments: DataFrame, block: int = FRAMES_PER_
     )
     layout = Layout(("session",), ("f", "kind"), f"f div {block}", fan)
     placed = prefix(marks.unionByName(points), layout, inside=("max", "seg"))
-    return placed.filter("kind = 1 and f < inside.end_f").selectExpr("session", "f", "f - inside.ioffset as g", "value")
+    speech = placed.filter("kind = 1 and f < inside.end_f").selectExpr("session", "f", "f - inside.ioffset as g", "value")
+    if not avoid_empty:
+        return speech
+    silent = frames.join(mapped.select("session").distinct(), "session", "left_anti")
+    return speech.unionByName(silent.selectExpr("session", "f", "f as g", "value"))
 
 
 def remap_timestamps(words: DataFrame, mapped: DataFrame, slot: int = 30_000) -> DataFrame:
@@ -156,7 +184,7 @@ def remap_timestamps(words: DataFrame, mapped: DataFrame, slot: int = 30_000) ->
 
     ``words`` has (session, word_id, t, t2) in ms, ``mapped`` a speech map in ms. A word that
     touches several segments takes the one that changes its length least, then the earliest.
-    Words after all speech keep the last offset.
+    Words after all speech keep the last offset; those of a session without a map keep their times.
     """
     spans = words.withColumn("__lo", F.least("t", "t2")).withColumn("__hi", F.greatest("t", "t2"))
     side = mapped.select("session", "start_f", "end_f", "obeg", "oend", "ioffset", F.col("seg_idx").alias("__seg"))
@@ -180,15 +208,18 @@ def remap_timestamps(words: DataFrame, mapped: DataFrame, slot: int = 30_000) ->
         F.max("oend").alias("__total"), F.max_by("ioffset", "seg_idx").alias("__offset")
     )
     after = (
-        lookup(spans, tails, ["session"], "inner")
-        .filter("__lo > __total")
-        .selectExpr(*words.columns, "__offset + t as start_ms", "__offset + t2 as end_ms")
+        lookup(spans, tails, ["session"])
+        .filter("__total is null or __lo > __total")
+        .selectExpr(*words.columns, "coalesce(__offset, 0) + t as start_ms", "coalesce(__offset, 0) + t2 as end_ms")
     )
     return best.unionByName(after)
 
 
 def remap_points(points: DataFrame, mapped: DataFrame, slot: int = 30_000) -> DataFrame:
-    """One cut time ``t`` to the original: the first segment that ends at or after it."""
+    """One cut time ``t`` to the original: the first segment that ends at or after it.
+
+    Times of a session without a map stay.
+    """
     side = mapped.select("session", "start_f", "end_f", "obeg", "oend", "ioffset", F.col("seg_idx").alias("__seg"))
     inside = overlap_join(
         points, side, ["session"], ("t", "t"), ("obeg", "oend"), "t <= oend and (__seg = 0 or obeg < t)", slot
@@ -196,8 +227,8 @@ def remap_points(points: DataFrame, mapped: DataFrame, slot: int = 30_000) -> Da
     tails = mapped.groupBy("session").agg(
         F.max("oend").alias("__total"), F.max_by("ioffset", "seg_idx").alias("__offset")
     )
-    after = lookup(points, tails, ["session"], "inner").filter("t > __total").selectExpr(
-        *points.columns, "__offset + t as original"
+    after = lookup(points, tails, ["session"]).filter("__total is null or t > __total").selectExpr(
+        *points.columns, "coalesce(__offset, 0) + t as original"
     )
     return inside.unionByName(after)
 

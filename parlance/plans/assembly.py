@@ -170,11 +170,9 @@ g AS (SELECT *, coalesce((lead(s) OVER al + e) / 2, b)::DOUBLE AS glued_end FROM
 SELECT conv_id AS session, turn AS seg_idx, pos, coalesce(lag(glued_end) OVER al, a)::DOUBLE AS glued_start, glued_end
 FROM g WINDOW al AS (PARTITION BY conv_id, turn ORDER BY pos)""")
 def glue_word_times(spark, d):
-    timed = T.timed_words(spark, d)
-    spans = timed.groupBy("conv_id", "turn").agg(F.min("start_ms").alias("seg_start"), F.max("end_ms").alias("seg_end"))
-    rows = timed.join(spans, ["conv_id", "turn"]).selectExpr(
-        "conv_id as session", "turn as seg_idx", "cast(pos as bigint) as pos", "start_ms + 20 as start_ms",
-        "end_ms - 10 as end_ms", "seg_start", "seg_end",
+    rows = T.timed_words(spark, d).selectExpr(
+        "conv_id as session", "turn as seg_idx", "cast(pos as bigint) as pos", "start_ms + 20 as start_ms", "end_ms - 10 as end_ms",
+        "min(start_ms) over (partition by conv_id, turn) as seg_start", "max(end_ms) over (partition by conv_id, turn) as seg_end",
     )
     return A.glue_word_times(rows).select("session", "seg_idx", "pos", "glued_start", "glued_end")
 
@@ -207,11 +205,12 @@ def flatten_words(spark, d):
 @register("transcript", "WITH " + C.GLUED + f""",
 lp AS (SELECT conv_id AS session, turn AS seg_idx, exp(logprob_milli / 1000) AS p FROM turns),
 segs AS (SELECT session, seg_idx, string_agg(word, ' ' ORDER BY word_idx) AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms,
-                sum(round_even(conf * 100, 0)::BIGINT) AS conf, count(*) AS n FROM glued GROUP BY 1, 2)
-SELECT session, seg_idx // {PART} AS part, string_agg(text, ' ' ORDER BY seg_idx) AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms,
-       sum(n)::BIGINT AS n_words, round_even(avg(p) * 100, 0) / 100 AS confidence,
-       round_even(sum(conf)::BIGINT / sum(n)::BIGINT / 100 * 100, 0) / 100 AS mean_word_conf
-FROM segs JOIN lp USING (session, seg_idx) GROUP BY 1, 2""")
+                sum(round_even(conf * 100, 0)::BIGINT) AS conf, count(*) AS n FROM glued GROUP BY 1, 2),
+every AS (SELECT * FROM lp LEFT JOIN segs USING (session, seg_idx)),
+scores AS (SELECT session, min(start_ms) AS start_ms, max(end_ms) AS end_ms, coalesce(sum(n), 0)::BIGINT AS n_words, round_even(avg(p) * 100, 0) / 100 AS confidence,
+                  round_even(sum(conf)::BIGINT / sum(n)::BIGINT / 100 * 100, 0) / 100 AS mean_word_conf FROM every GROUP BY 1)
+SELECT session, part, text, start_ms, end_ms, n_words, confidence, mean_word_conf
+FROM (SELECT session, seg_idx // {PART} AS part, coalesce(string_agg(text, ' ' ORDER BY seg_idx), '') AS text FROM every GROUP BY 1, 2) JOIN scores USING (session)""")
 def transcript(spark, d):
     return A.transcript(T.tokens(spark, d), T.segments(spark, d).select("session", "seg_idx", "avg_logprob")).select(
         "session", "part", "text", "start_ms", "end_ms", "n_words", "confidence", "mean_word_conf"
@@ -226,7 +225,7 @@ tails AS (SELECT session, max(oend) AS total, arg_max(ioffset, sid) AS off FROM
 placed AS (
   SELECT session, seg_idx, pos, x0 AS s, x1 AS e FROM cand
   QUALIFY row_number() OVER (PARTITION BY session, seg_idx, pos ORDER BY abs(abs(t2 - t0) - abs(x1 - x0)), sid) = 1
-  UNION ALL SELECT t.session, seg_idx, pos, off + start_ms, off + end_ms FROM tokens t JOIN tails USING (session) WHERE least(start_ms, end_ms) > total)
+  UNION ALL SELECT t.session, seg_idx, pos, coalesce(off, 0) + start_ms, coalesce(off, 0) + end_ms FROM tokens t LEFT JOIN tails USING (session) WHERE total IS NULL OR least(start_ms, end_ms) > total)
 SELECT session, seg_idx, word_idx::BIGINT AS word_idx, min(s) AS start_ms, max(e) AS end_ms
 FROM walk JOIN seq USING (session, seg_idx, n) JOIN placed USING (session, seg_idx, pos) GROUP BY 1, 2, 3""")
 def transcript_original_timeline(spark, d):

@@ -126,7 +126,7 @@ tails AS (SELECT session, max(oend) AS total, arg_max(ioffset, seg_idx) AS off F
 
 @register("remap_timestamps", _REMAP + """
 SELECT * FROM best UNION ALL
-SELECT w.session, turn, pos, off + t, off + t2 FROM w JOIN tails USING (session) WHERE least(t, t2) > total""")
+SELECT w.session, turn, pos, coalesce(off, 0) + t, coalesce(off, 0) + t2 FROM w LEFT JOIN tails USING (session) WHERE total IS NULL OR least(t, t2) > total""")
 def remap_timestamps(spark, d):
     words = cut(T.session_words(spark, d).select(
         F.col("conv_id").alias("session"), "turn", F.col("pos").cast("long").alias("pos"),
@@ -140,7 +140,7 @@ SELECT session, turn, pos, least(greatest(ioffset + t, a), b) AS original FROM (
   SELECT w.*, a, b, ioffset, seg_idx FROM w JOIN ms ON w.session = ms.session AND t <= oend
   QUALIFY row_number() OVER (PARTITION BY w.session, turn, pos ORDER BY seg_idx) = 1)
 UNION ALL
-SELECT w.session, turn, pos, off + t FROM w JOIN tails USING (session) WHERE t > total""")
+SELECT w.session, turn, pos, coalesce(off, 0) + t FROM w LEFT JOIN tails USING (session) WHERE total IS NULL OR t > total""")
 def remap_point(spark, d):
     points = cut(T.session_words(spark, d).select(
         F.col("conv_id").alias("session"), "turn", F.col("pos").cast("long").alias("pos"), F.col("start_ms").alias("t")
@@ -170,7 +170,11 @@ CHUNK, CONTEXT, THRESHOLD = 6000, 500, 9000
 
 
 def _lengths(spark, d):
-    return T.session_words(spark, d).groupBy(F.col("conv_id").alias("session")).agg(F.max("end_ms").alias("length"))
+    # the last word ends 400 ms a turn after all words said one after the other
+    spoken = F.expr("aggregate(items, 0L, (total, w) -> total + 40 + 60 * length(w))")
+    return T.turns(spark, d).filter(F.size("items") > 0).groupBy(F.col("conv_id").alias("session")).agg(
+        (F.sum(spoken) + 400 * F.max("turn")).cast("long").alias("length")
+    )
 
 
 @register("chunk_plan", C.ctes(C.SESSION_WORDS, f"""

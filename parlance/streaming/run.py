@@ -14,9 +14,13 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A given table as a stream of files: a folder of part files, or one file beside others."""
+    path = f"{sf_dir}/{name}.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        return source.parquet(path)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def run_available(stream: DataFrame, file_format: str = "parquet") -> str:
@@ -55,6 +59,12 @@ def emission_json(kind: Column, text: Column) -> Column:
     )
 
 
-def ordered_messages(messages: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """A message stream without repeats of (session, seq); ``ts`` bounds the memory kept for that."""
+def ordered_messages(messages: DataFrame, lateness: str | None = None) -> DataFrame:
+    """A message stream without repeats of (session, seq), the same for any number of micro-batches.
+
+    Without ``lateness`` every pair is remembered, in a state store on disk. With it, memory is
+    bounded by ``ts``, and messages later than that are dropped.
+    """
+    if lateness is None:
+        return messages.dropDuplicates(["session", "seq"])
     return messages.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["session", "seq"])
