@@ -34,8 +34,3 @@ def normalize_compare(word: Column) -> Column:
 def contains_alphanum(text: Column) -> Column:
     """True if a letter or digit occurs."""
     return text.rlike(r"[\p{L}\p{N}]")
-
-
-def ordered_join(ordered: Column, field: str, separator: str) -> Column:
-    """Join one field of an already sorted array of structs."""
-    return F.array_join(F.transform(ordered, lambda x: x[field]), separator)

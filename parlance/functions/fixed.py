@@ -86,8 +86,6 @@ MAPPED_PUNCTUATION = '.,;:()?!，！？；：（）［］【】└_。、…—
 # Text printed for punctuation labels 0..4.
 PUNCTUATION_MARKS = ["", ",", ".", " ?", " !"]
 
-# Marks and characters kept inside words besides letters, digits and currency.
-WORD_SYMBOLS = "'-_%+×#@&"
 GLUE_CHARS = "'-&@.,"
 
 # ASCII punctuation.

@@ -6,9 +6,8 @@ stands for one text of one input row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,17 +89,35 @@ def _filler(word: str) -> str:
     return f" *{EDGE_BEFORE}{word}{EDGE_AFTER} *"
 
 
-def find_disfluencies(text: Column, lang: str) -> Column:
-    """``array<struct<start, hit>>`` of the language's filler words, by position."""
-    found = []
-    for word in DISFLUENCIES.get(lang[:2].lower(), []):
-        hits = F.regexp_extract_all(text, F.lit(_filler(word)), F.lit(0))
-        between = F.transform(F.split(text, _filler(word), -1), lambda p: F.length(p))
-        lengths = F.transform(hits, lambda h: F.length(h))
-        found.append(F.transform(hits, _placed(between, lengths)))
-    if not found:
-        return F.array().cast("array<struct<start:int,hit:string>>")
-    return F.array_sort(F.concat(*found))
+_NO_HITS = "cast(array() as array<struct<start:int,hit:string>>)"
+
+
+def _by_language(lang: str | Column, of: Callable[[list[str]], Column], otherwise: Column) -> Column:
+    """``of`` the filler words of each row's language, told by its first two letters."""
+    if isinstance(lang, str):
+        lang = F.lit(lang)
+    code, out = F.lower(F.substring(lang, 1, 2)), None
+    for known, words in DISFLUENCIES.items():
+        out = F.when(code == known, of(words)) if out is None else out.when(code == known, of(words))
+    return otherwise if out is None else out.otherwise(otherwise)
+
+
+def find_disfluencies(text: Column, lang: str | Column) -> Column:
+    """``array<struct<start, hit>>`` of the filler words of the text's language, by position.
+
+    A language without a list has none, and neither has a null language.
+    """
+
+    def hits_of(words: list[str]) -> Column:
+        found = []
+        for word in words:
+            hits = F.regexp_extract_all(text, F.lit(_filler(word)), F.lit(0))
+            between = F.transform(F.split(text, _filler(word), -1), lambda p: F.length(p))
+            lengths = F.transform(hits, lambda h: F.length(h))
+            found.append(F.transform(hits, _placed(between, lengths)))
+        return F.array_sort(F.concat(*found))
+
+    return _by_language(lang, hits_of, F.expr(_NO_HITS))
 
 
 def _placed(between: Column, lengths: Column) -> Callable[[Column, Column], Column]:
@@ -117,10 +134,16 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
 
 
-def remove_disfluencies(text: Column, lang: str) -> Column:
-    for word in DISFLUENCIES.get(lang[:2].lower(), []):
-        text = F.regexp_replace(text, _filler(word), " ")
-    return text
+def remove_disfluencies(text: Column, lang: str | Column) -> Column:
+    """The text without the filler words of its language; other languages pass unchanged."""
+
+    def without(words: list[str]) -> Column:
+        out = text
+        for word in words:
+            out = F.regexp_replace(out, _filler(word), " ")
+        return out
+
+    return _by_language(lang, without, text)
 
 
 def restore_disfluencies(text: Column, inserts: Column) -> Column:
@@ -138,54 +161,74 @@ def restore_disfluencies(text: Column, inserts: Column) -> Column:
 
 
 def map_text_field(line: Column, operator: Callable[[Column], Column]) -> Column:
-    """Apply ``operator`` to a text, or to the ``text`` field of a JSON object given as a string."""
+    """Apply ``operator`` to a text, or to the ``text`` field of a JSON object given as a string.
+
+    A field that is no string, or is missing, is left alone, and so is a line in braces that is no
+    JSON object; :func:`text_field_error` tells of the latter.
+    """
     bare = F.trim(line)
-    is_object = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}"))
-    fields = F.from_json(F.when(is_object, bare), "map<string,variant>")
-    new_text = operator(F.try_variant_get(fields["text"], "$", "string"))
-    changed = F.transform_values(fields, lambda k, v: F.when(k == "text", new_text.cast("variant")).otherwise(v))
-    return F.when(bare == "", F.lit("")).when(is_object, F.to_json(changed)).otherwise(operator(bare))
+    fields, text = _json_fields(bare)
+    kind = F.try_variant_get(fields["text"], "$", "string")
+    new_text = operator(kind)
+    is_text = F.schema_of_variant(fields["text"]) == "STRING"
+    changed = F.transform_values(
+        fields, lambda k, v: F.when((k == "text") & F.coalesce(is_text, F.lit(False)), new_text.cast("variant")).otherwise(v)
+    )
+    return (
+        F.when(bare == "", F.lit(""))
+        .when(text, operator(bare))
+        .when(fields.isNull(), bare)
+        .otherwise(F.to_json(changed))
+    )
 
 
-# --- sub-word coverage --------------------------------------------------------------------------
+def text_field_error(line: Column) -> Column:
+    """Why :func:`map_text_field` left a line as it was; null where it did not."""
+    bare = F.trim(line)
+    fields, text = _json_fields(bare)
+    return F.when(~text & (bare != "") & fields.isNull(), F.concat(F.lit("not a JSON object: "), bare))
+
+
+def map_text_fields(lines: Column, operator: Callable[[Column], Column]) -> Column:
+    """The same for each item of a list of lines."""
+    return F.transform(lines, lambda line: map_text_field(line, operator))
 
-VOCAB_LIMIT = 100_000
 
+def _json_fields(bare: Column) -> tuple[Column, Column]:
+    """The fields of a line in braces (null if they cannot be read), and whether it is plain text."""
+    is_object = F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}"))
+    return F.from_json(F.when(is_object, bare), "map<string,variant>"), ~is_object
+
+
+# --- sub-word coverage --------------------------------------------------------------------------
 
 def wordpiece_coverage(words: DataFrame, vocab: DataFrame, word: str = "word", max_chars: int = 100) -> DataFrame:
     """Greedy longest-match pieces of every distinct word, with the word's count.
 
-    ``vocab`` is one column ``piece``; a sub-word vocabulary is a model constant, so its size is
-    checked and it is handed to the tasks whole. Output: word, n, pieces, known.
+    ``vocab`` is one column ``piece``, of any size. Each distinct word lists its substrings once,
+    those in the vocabulary stay (as they are, or in lower case; behind the start with ``##``), and
+    a fold over the word's own longest ones takes them from left to right. No pieces means that the
+    word is unknown. Output: word, n, pieces, known.
     """
-    rows = vocab.select("piece").distinct().limit(VOCAB_LIMIT + 1).collect()
-    if len(rows) > VOCAB_LIMIT:
-        raise ValueError(f"vocabulary has more than {VOCAB_LIMIT} pieces")
-    shared = words.sparkSession.sparkContext.broadcast(frozenset(r.piece for r in rows))
-
-    def split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for batch in batches:
-            pieces = [_longest_pieces(w, known, max_chars) for w in batch["word"]]
-            yield batch.assign(pieces=pieces)
-
     counted = words.groupBy(F.col(word).alias("word")).agg(F.count("*").alias("n"))
-    return counted.mapInPandas(split_batches, "word string, n long, pieces array<string>").withColumn(
+    spans = F.expr(
+        f"""if(length(word) > {max_chars} or word = '', null, flatten(transform(sequence(1, length(word)), at ->
+          transform(sequence(1, length(word) - at + 1), size -> struct(at, size)))))"""
+    )
+    listed = counted.select("word", F.explode(spans).alias("s")).select(
+        "word", "s.at", "s.size", F.expr("concat(if(s.at > 1, '##', ''), substring(word, s.at, s.size))").alias("own")
+    )
+    forms = listed.withColumn("piece", F.explode(F.array_distinct(F.array("own", F.lower("own")))))
+    longest = forms.join(vocab.select("piece").distinct(), "piece").groupBy("word", "at").agg(F.max("size").alias("size"))
+    steps = longest.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "size"))).alias("steps"))
+    fold = F.expr(
+        """aggregate(sequence(1, length(word)), struct(1 as at, cast(array() as array<string>) as pieces), (acc, i) ->
+          if(acc.at = i and steps[i] is not null,
+             struct(i + steps[i] as at, concat(acc.pieces, array(concat(if(i > 1, '##', ''), substring(word, i, steps[i])))) as pieces), acc))"""
+    )
+    split = counted.join(steps, "word", "left").withColumn("walk", F.when(F.col("steps").isNotNull(), fold))
+    whole = F.col("walk.at") == F.length("word") + 1
+    none = F.expr("cast(array() as array<string>)")
+    return split.select("word", "n", F.when(whole, F.col("walk.pieces")).otherwise(none).alias("pieces")).withColumn(
         "known", F.size("pieces") > 0
     )
-
-
-def _longest_pieces(word: str, known: frozenset, max_chars: int) -> list[str]:
-    """No pieces means the word is unknown."""
-    if len(word) > max_chars:
-        return []
-    pieces, rest, lead = [], word, ""
-    while rest:
-        size = next(
-            (k for k in range(len(rest), 0, -1) if lead + rest[:k] in known or (lead + rest[:k]).lower() in known), 0
-        )
-        if not size:
-            return []
-        pieces.append(lead + rest[:size])
-        rest, lead = rest[size:], "##"
-    return pieces

@@ -62,3 +62,15 @@ def batch_infer(
             yield frame.assign(**{output: results})
 
     return rows.mapInPandas(run, schema)
+
+
+def revision_rate(pairs: DataFrame, *keys: str) -> DataFrame:
+    """How often a word that was shown changes in the next hypothesis: changed, shown, rate.
+
+    ``pairs`` has two arrays of words, the hypothesis before (b) and the new one (n); places that
+    both have are compared. The rate is null where none was shown twice.
+    """
+    shared = pairs.withColumn("shared", F.least(F.size("b"), F.size("n")))
+    changed = F.expr("size(filter(arrays_zip(slice(b, 1, shared), slice(n, 1, shared)), z -> z.`0`.word <> z.`1`.word))")
+    counted = shared.groupBy(*keys).agg(F.sum(changed).alias("changed"), F.sum("shared").alias("shown"))
+    return counted.withColumn("rate", F.when(F.col("shown") > 0, F.col("changed") / F.col("shown")))

@@ -32,7 +32,7 @@ vocab AS (SELECT row_number() OVER (ORDER BY label) - 1 AS token_idx, label FROM
 
 def _chars(spark, d):
     """Distinct characters; each text sends every character once."""
-    texts = T.spread(T.table(spark, d, "documents").select("text"), "text")
+    texts = T.table(spark, d, "documents").select("text")
     return (
         texts.select(F.explode_outer(F.array_distinct(F.split("text", ""))).alias("char")).filter("char <> ''").distinct()
     )

@@ -62,13 +62,13 @@ def detokenize(spark, d):
 
 
 def _filler_lines(spark, d):
-    return T.lines(spark, d).filter("lang = 'fr'").select(
-        "doc_id", "line_no", F.expr("replace(replace(line, ' la ', ' euh '), ' le ', ' heu ')").alias("line")
-    )
+    """All lines; French ones get filler words in place of some of their own."""
+    noisy = "if(lang = 'fr', replace(replace(line, ' la ', ' euh '), ' le ', ' heu '), line)"
+    return T.lines(spark, d).select("doc_id", "line_no", "lang", F.expr(noisy).alias("line"))
 
 
 _FILLERS = C.ctes(C.LINES, r"""
-f AS (SELECT doc_id, line_no, replace(replace(line, ' la ', ' euh '), ' le ', ' heu ') AS line FROM lines WHERE lang = 'fr')""")
+f AS (SELECT doc_id, line_no, lang, CASE WHEN lang = 'fr' THEN replace(replace(line, ' la ', ' euh '), ' le ', ' heu ') ELSE line END AS line FROM lines)""")
 
 
 def _hits(word: str) -> str:
@@ -76,20 +76,20 @@ def _hits(word: str) -> str:
     return f"""SELECT doc_id, line_no, h[i] AS hit,
       list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS start
     FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (
-      SELECT doc_id, line_no, regexp_extract_all(line, {pattern}) AS h, string_split_regex(line, {pattern}) AS p FROM f))"""
+      SELECT doc_id, line_no, regexp_extract_all(line, {pattern}) AS h, string_split_regex(line, {pattern}) AS p FROM f WHERE lang = 'fr'))"""
 
 
 @register("find_disfluencies", _FILLERS + f"SELECT doc_id, line_no, start::BIGINT AS start, hit FROM ({_hits('euh')} UNION ALL {_hits('heu')})")
 def find_disfluencies(spark, d):
     return _filler_lines(spark, d).select(
-        "doc_id", "line_no", F.explode_outer(R.find_disfluencies(F.col("line"), "fr")).alias("h")
+        "doc_id", "line_no", F.explode_outer(R.find_disfluencies(F.col("line"), F.col("lang"))).alias("h")
     ).filter("h is not null").select("doc_id", "line_no", F.col("h.start").cast("long").alias("start"), "h.hit")
 
 
 @register("remove_disfluencies", _FILLERS + r"""
-SELECT doc_id, line_no, regexp_replace(regexp_replace(line, ' *\beuh\b *', ' ', 'g'), ' *\bheu\b *', ' ', 'g') AS text FROM f""")
+SELECT doc_id, line_no, CASE WHEN lang = 'fr' THEN regexp_replace(regexp_replace(line, ' *\beuh\b *', ' ', 'g'), ' *\bheu\b *', ' ', 'g') ELSE line END AS text FROM f""")
 def remove_disfluencies(spark, d):
-    return _filler_lines(spark, d).select("doc_id", "line_no", R.remove_disfluencies(F.col("line"), "fr").alias("text"))
+    return _filler_lines(spark, d).select("doc_id", "line_no", R.remove_disfluencies(F.col("line"), F.col("lang")).alias("text"))
 
 
 @register("restore_disfluencies")
@@ -97,9 +97,9 @@ def restore_disfluencies(spark, d):
     bare = A.glue_apostrophes(collapse_whitespace(R.drop_mapped_punct(F.col("line"))))
     return (
         _filler_lines(spark, d)
-        .select("doc_id", "line_no", bare.alias("line"))
-        .withColumn("hits", R.find_disfluencies(F.col("line"), "fr"))
-        .withColumn("clean", F.concat(collapse_whitespace(R.remove_disfluencies(F.col("line"), "fr")), F.lit(".")))
+        .select("doc_id", "line_no", "lang", bare.alias("line"))
+        .withColumn("hits", R.find_disfluencies(F.col("line"), F.col("lang")))
+        .withColumn("clean", F.concat(collapse_whitespace(R.remove_disfluencies(F.col("line"), F.col("lang"))), F.lit(".")))
         .select("doc_id", "line_no", R.restore_disfluencies(F.col("clean"), F.col("hits")).alias("text"))
     )
 
@@ -117,14 +117,30 @@ def map_text_field(spark, d):
     )
 
 
-@register("wordpiece_vocab_coverage")
+_PIECES = C.ctes(C.WORDS, r"""
+w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(word, '[\p{L}\p{N}_]+')) AS word FROM words) GROUP BY 1),
+given AS (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS g FROM benchmark),
+bare AS (SELECT DISTINCT g FROM given UNION SELECT unnest(string_split(lower(g), '')) FROM given),
+vocab AS (SELECT DISTINCT g AS piece FROM bare WHERE g <> '' UNION SELECT '##' || g FROM bare WHERE g <> ''),
+spans AS (SELECT word, a AS place, unnest(range(1, length(word) - a + 2)) AS size FROM (SELECT word, unnest(range(1, length(word) + 1)) AS a FROM w WHERE length(word) <= 100)),
+own AS (SELECT *, CASE WHEN place > 1 THEN '##' ELSE '' END || substring(word, place, size) AS own FROM spans),
+longest AS (SELECT word, place, max(size) AS size FROM own WHERE own IN (SELECT piece FROM vocab) OR lower(own) IN (SELECT piece FROM vocab) GROUP BY 1, 2),
+walk AS (
+  SELECT word, 1::BIGINT AS place, '' AS pieces FROM w WHERE length(word) > 0
+  UNION ALL
+  SELECT k.word, k.place + l.size, k.pieces || CASE WHEN k.place > 1 THEN ' ##' ELSE '' END || substring(k.word, k.place, l.size)
+  FROM walk k JOIN longest l ON l.word = k.word AND l.place = k.place)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("wordpiece_vocab_coverage", _PIECES + """
+SELECT w.word, n, coalesce(k.pieces, '') AS pieces, k.pieces IS NOT NULL AS known FROM w LEFT JOIN walk k ON k.word = w.word AND k.place = length(w.word) + 1""")
 def wordpiece_vocab_coverage(spark, d):
-    words = T.words(spark, d).select(F.explode(F.regexp_extract_all("word", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("word"))
-    frequent = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(2000).select("word")
-    letters = words.select(F.explode(F.split(F.lower("word"), "")).alias("c")).filter("c <> '' and c <> 'ç'").distinct()
-    vocab = frequent.selectExpr("word as piece").unionByName(letters.selectExpr("concat('##', c) as piece")).unionByName(
-        frequent.selectExpr("concat('##', word) as piece")
-    ).unionByName(letters.selectExpr("c as piece"))
+    """Words of conversations in pieces of a vocabulary made of the words and letters of ``benchmark``."""
+    found = lambda column: F.explode(F.regexp_extract_all(column, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    words = T.words(spark, d).select(found("word").alias("word"))
+    given = T.table(spark, d, "benchmark").select(found("text").alias("g"))
+    bare = given.distinct().union(given.select(F.explode(F.split(F.lower("g"), "")))).filter("g <> ''").distinct()
+    vocab = bare.selectExpr("g as piece").unionByName(bare.selectExpr("concat('##', g) as piece"))
     return R.wordpiece_coverage(words, vocab).select(
         "word", "n", F.array_join("pieces", " ").alias("pieces"), "known"
     )

@@ -10,6 +10,7 @@ from parlance.functions.fixed import ASCII_PUNCTUATION
 from parlance.lineage import cut
 from parlance.operators import assemble as A
 from parlance.operators import live as L
+from parlance.operators import metrics
 from parlance.plans import ctes as C
 from parlance.plans.registry import register
 from parlance.sources import tables as T
@@ -276,13 +277,12 @@ def finish_session(spark, d):
     return texts.join(echoes, "session", "left_anti").select("session", F.replace("text", F.lit(" "), F.lit("")).alias("text"))
 
 
-@register("partial_revision_rate", _PAIRS + """
-SELECT session, sum(len(list_filter(range(least(len(b), len(n))), lambda j: b[j + 1].word <> n[j + 1].word)))::BIGINT AS changed,
-       sum(least(len(b), len(n)))::BIGINT AS shown FROM z GROUP BY session""")
+@register("partial_revision_rate", _PAIRS + """,
+r AS (SELECT session, sum(len(list_filter(range(least(len(b), len(n))), lambda j: b[j + 1].word <> n[j + 1].word)))::BIGINT AS changed,
+       sum(least(len(b), len(n)))::BIGINT AS shown FROM z GROUP BY session)
+SELECT *, CASE WHEN shown > 0 THEN changed / shown END AS rate FROM r""")
 def partial_revision_rate(spark, d):
-    pairs = _pairs(spark, d).withColumn("shared", F.least(F.size("b"), F.size("n")))
-    changed = F.expr("size(filter(arrays_zip(slice(b, 1, shared), slice(n, 1, shared)), z -> z.`0`.word <> z.`1`.word))")
-    return pairs.groupBy("session").agg(F.sum(changed).alias("changed"), F.sum("shared").alias("shown"))
+    return metrics.revision_rate(_pairs(spark, d), "session")
 
 
 @register("message_stream", C.ctes(C.PACKETS) + """

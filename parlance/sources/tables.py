@@ -21,19 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a source of few splits to all cores; a source with many splits is left alone.
-
-    Text work is heavy per row, and a small table often comes as one row group.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(cores, key)
-
-
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversation turn: a recognizer segment with its words."""
     src = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return turns_of(spread(src, "text"))
+    return turns_of(src)
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
@@ -125,7 +116,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents: (doc_id, line_no, lang, line)."""
-    src = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    src = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return src.select(
         "doc_id", "lang", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line")
     ).filter("line_no is not null").withColumn("line_no", F.col("line_no").cast("long"))
@@ -165,7 +156,7 @@ NUMERIC_LANG = "element_at(array('en', 'fr', 'en', 'fr', 'es'), cast(o_orderkey
 def numeric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as spoken-language text with digits: (order_id, lang, text)."""
     src = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    return spread(src, "o_orderkey").select(
+    return src.select(
         F.col("o_orderkey").alias("order_id"),
         F.expr(NUMERIC_LANG).alias("lang"),
         F.expr(NUMERIC_TEXT.format(lang=NUMERIC_LANG)).alias("text"),

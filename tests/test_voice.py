@@ -31,7 +31,6 @@ def test_vad_settings(spark):
     assert rows(voice.segments_for(frames, "false")) == [(1, 0, 12)]
     with pytest.raises(ValueError):
         voice.segments_for(frames, "unheard-of")
-    assert voice.capped_silence(5, 2) == 1.9
 
 
 def naive_remap(segs, t, t2):
