@@ -1,4 +1,9 @@
-"""Number words as SQL expressions over integers, for English and French below a thousand million."""
+"""Number words as SQL expressions over digit strings of any length: English, French, German, Spanish.
+
+A number is a string of digits without leading zeros. It is cut into groups of three digits (six in
+Spanish), each group takes its name from a list of a thousand, and a scale word by its place. Beyond
+the scale words, at 10^36, digits are read one by one.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +18,31 @@ EN_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 FR_UNITS = ("zéro un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze "
             "seize dix-sept dix-huit dix-neuf").split()
 FR_TENS = "vingt trente quarante cinquante soixante".split()
-SPELLED = ("en", "fr")
-LIMIT = 1_000_000_000
-_MINUS = {"en": "minus ", "fr": "moins "}
+DE_UNITS = ("null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn "
+            "sechzehn siebzehn achtzehn neunzehn").split()
+DE_TENS = "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split()
+ES_UNITS = ("cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis "
+            "diecisiete dieciocho diecinueve veinte veintiuno veintidós veintitrés veinticuatro veinticinco "
+            "veintiséis veintisiete veintiocho veintinueve").split()
+ES_TENS = "treinta cuarenta cincuenta sesenta setenta ochenta noventa".split()
+ES_HUNDREDS = ("ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos "
+               "novecientos").split()
+ES_ORDINALS = (
+    "primero segundo tercero cuarto quinto sexto séptimo octavo noveno".split(),
+    "décimo vigésimo trigésimo cuadragésimo quincuagésimo sexagésimo septuagésimo octogésimo nonagésimo".split(),
+    ("centésimo ducentésimo tricentésimo cuadringentésimo quingentésimo sexcentésimo septingentésimo "
+     "octingentésimo noningentésimo").split(),
+)
+EN_SCALES = ("thousand million billion trillion quadrillion quintillion sextillion septillion octillion nonillion "
+             "decillion").split()
+FR_SCALES = ("mille million milliard billion billiard trillion trilliard quadrillion quadrilliard quintillion "
+             "quintilliard").split()
+DE_SCALES = ("tausend Million Milliarde Billion Billiarde Trillion Trilliarde Quadrillion Quadrilliarde Quintillion "
+             "Quintilliarde").split()
+ES_SCALES = "millón billón trillón cuatrillón quintillón".split()
+SPELLED = ("en", "fr", "de", "es")
+MINUS = {"en": "minus ", "fr": "moins ", "de": "minus ", "es": "menos "}
+DIGITS = 36
 
 
 def _en_below_1000(n: int) -> str:
@@ -55,11 +82,34 @@ def _fr_below_1000(n: int) -> str:
     return f"{head} {_fr_below_100(rest)}"
 
 
+def _de_below_1000(n: int) -> str:
+    hundreds, rest = divmod(n, 100)
+    tens, unit = divmod(rest, 10)
+    one = lambda u: "ein" if u == 1 else DE_UNITS[u]
+    tail = DE_UNITS[rest] if rest < 20 else (f"{one(unit)}und" if unit else "") + DE_TENS[tens - 2]
+    return f"{one(hundreds)}hundert" + (tail if rest else "") if hundreds else tail
+
+
+def _es_below_1000(n: int) -> str:
+    hundreds, rest = divmod(n, 100)
+    tens, unit = divmod(rest, 10)
+    tail = ES_UNITS[rest] if rest < 30 else ES_TENS[tens - 3] + (f" y {ES_UNITS[unit]}" if unit else "")
+    if not hundreds:
+        return tail
+    return "cien" if n == 100 else ES_HUNDREDS[hundreds - 1] + (f" {tail}" if rest else "")
+
+
+def _es_ordinal_below_1000(n: int) -> str:
+    return " ".join(names[int(d) - 1] for names, d in zip(ES_ORDINALS[::-1], f"{n:03d}", strict=True) if d != "0")
+
+
 @lru_cache(maxsize=None)
-def small_numbers(lang: str) -> str:
-    """SQL array of the names of 0..999; one literal, split once when the plan is folded."""
-    rule = {"en": _en_below_1000, "fr": _fr_below_1000}[lang]
-    return "split('" + "|".join(rule(n) for n in range(1000)) + "', '[|]')"
+def small_numbers(lang: str) -> list[str]:
+    """The names of 0..999; ``es_ordinal`` for Spanish ordinals, the first of them empty."""
+    rule = {
+        "en": _en_below_1000, "fr": _fr_below_1000, "de": _de_below_1000, "es": _es_below_1000, "es_ordinal": _es_ordinal_below_1000,
+    }[lang]
+    return [rule(n) for n in range(1000)]
 
 
 _fresh = count()
@@ -72,50 +122,101 @@ def let(value: str, body: Callable[[str], str]) -> str:
 
 
 def with_names(body: str) -> str:
-    """Make the number names visible to ``body``, which uses :func:`cardinal` or :func:`ordinal`."""
-    for lang in SPELLED:
-        body = f"transform(array({small_numbers(lang)}), names_{lang} -> {body})[0]"
+    """Make the number names visible to ``body``, which uses :func:`cardinal` or :func:`ordinal`.
+
+    Each list is one literal, split once when the plan is folded.
+    """
+    for lang in (*SPELLED, "es_ordinal"):
+        if f"names_{lang}" in body:
+            body = f"transform(array(split('{'|'.join(small_numbers(lang))}', '[|]')), names_{lang} -> {body})[0]"
     return body
 
 
-def _pick(lang: str, n: str) -> str:
-    return f"element_at(names_{lang}, cast({n} as int) + 1)"
+def digits_of(n: str) -> str:
+    """The digit string of an integer expression's absolute value."""
+    return f"replace(cast({n} as string), '-', '')"
 
 
-def cardinal(n: str, lang: str) -> str:
-    """Words of the bigint expression ``n``, abs(n) < LIMIT."""
-    return let(f"abs({n})", lambda a: f"concat(if({n} < 0, '{_MINUS[lang]}', ''), {_positive(a, lang)})")
+def _pick(lang: str, v: str) -> str:
+    return f"element_at(names_{lang}, cast({v} as int) + 1)"
 
 
-def _positive(a: str, lang: str) -> str:
-    millions, thousands, rest = f"{a} div 1000000", f"({a} div 1000) % 1000", f"{a} % 1000"
-    if lang == "en":
-        return (
-            f"concat(if({millions} > 0, concat({_pick(lang, millions)}, ' million'), ''), "
-            f"if({thousands} > 0, concat(if({millions} > 0, ', ', ''), {_pick(lang, thousands)}, ' thousand'), ''), "
-            f"if({rest} > 0 or {a} = 0, concat(if({a} < 1000, '', if({rest} < 100, ' and ', ', ')), {_pick(lang, rest)}), ''))"
-        )
-    many = f"regexp_replace({_pick(lang, thousands)}, '(cent|vingt)s$', '$1')"
-    return (
-        f"concat_ws(' ', "
-        f"if({millions} > 0, concat({_pick(lang, millions)}, if({millions} > 1, ' millions', ' million')), null), "
-        f"if({thousands} > 1, concat({many}, ' mille'), if({thousands} = 1, 'mille', null)), "
-        f"if({rest} > 0 or {a} = 0, {_pick(lang, rest)}, null))"
-    )
+def _words(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _groups(d: str, size: int) -> str:
+    """Groups of digits that are not zero, first to last: struct(v, s) with s the place from the right."""
+    k = f"cast(ceil(length({d}) / {size}) as int)"
+    return let(k, lambda k: let(
+        f"lpad({d}, {size} * {k}, '0')",
+        lambda p: f"filter(transform(sequence(1, {k}), i -> struct(cast(substring({p}, {size} * i - {size - 1}, {size}) as int) as v, {k} - i as s)), g -> g.v > 0)",
+    ))
+
+
+def cardinal(d: str, lang: str, negative: str = "false") -> str:
+    """Words of the digit string expression ``d``, which has no leading zeros."""
+    words = let(d, lambda d: f"case when {d} = '0' then {_pick(lang, '0')} when length({d}) > {DIGITS} then {_one_by_one(d, lang)} else {_positive(d, lang)} end")
+    return words if negative == "false" else f"concat(if({negative}, '{MINUS[lang]}', ''), {words})"
+
 
+def _one_by_one(d: str, lang: str) -> str:
+    return f"array_join(transform(filter(split({d}, ''), c -> c <> ''), c -> {_pick(lang, 'c')}), ' ')"
 
-def ordinal(n: str, lang: str) -> str:
-    """Ordinal words of the bigint expression ``n``."""
+
+def _positive(d: str, lang: str) -> str:
+    if lang == "en":
+        name = f"concat({_pick('en', 'g.v')}, ' ', element_at({_words(EN_SCALES)}, g.s))"
+        return let(_groups(d, 3), lambda g: let(
+            f"coalesce(try_element_at(filter({g}, x -> x.s = 0), 1).v, 0)",
+            lambda rest: f"concat_ws(if({rest} < 100, ' and ', ', '), nullif(array_join(transform(filter({g}, x -> x.s > 0), g -> {name}), ', '), ''), "
+                         f"if({rest} > 0, {_pick('en', rest)}, null))",
+        ))
+    if lang == "fr":
+        many = f"regexp_replace({_pick('fr', 'g.v')}, '(cent|vingt)s$', '$1')"
+        name = (f"case when g.s = 0 then {_pick('fr', 'g.v')} when g.s = 1 then if(g.v = 1, 'mille', concat({many}, ' mille')) "
+                f"else concat({_pick('fr', 'g.v')}, ' ', element_at({_words(FR_SCALES)}, g.s), if(g.v > 1, 's', '')) end")
+        return f"array_join(transform({_groups(d, 3)}, g -> {name}), ' ')"
+    if lang == "de":
+        # thousands and what follows are one word
+        plural = [s + ("n" if s.endswith("e") else "en") for s in DE_SCALES]
+        name = (f"case when g.s = 0 then {_pick('de', 'g.v')} when g.s = 1 then concat(regexp_replace({_pick('de', 'g.v')}, 'eins$', 'ein'), 'tausend') "
+                f"when g.v = 1 then concat('eine ', element_at({_words(DE_SCALES)}, g.s), ' ') else concat({_pick('de', 'g.v')}, ' ', element_at({_words(plural)}, g.s), ' ') end")
+        return f"rtrim(array_join(transform({_groups(d, 3)}, g -> {name}), ''))"
+    short = lambda w: f"regexp_replace(regexp_replace({w}, 'veintiuno$', 'veintiún'), 'uno$', 'un')"
+    below = (f"concat_ws(' ', case when g.v < 1000 then null when g.v < 2000 then 'mil' else concat({short(_pick('es', 'g.v div 1000'))}, ' mil') end, "
+             f"if(g.v % 1000 > 0, {_pick('es', 'g.v % 1000')}, null))")
+    plural = [s.replace("ón", "ones") for s in ES_SCALES]
+    name = (f"case when g.s = 0 then {below} when g.v = 1 then concat('un ', element_at({_words(ES_SCALES)}, g.s)) "
+            f"else concat({short(below)}, ' ', element_at({_words(plural)}, g.s)) end")
+    return f"array_join(transform({_groups(d, 6)}, g -> {name}), ' ')"
+
+
+def ordinal(d: str, lang: str) -> str:
+    """Ordinal words of the digit string expression ``d``."""
     if lang == "en":
         endings = [("one", "first"), ("two", "second"), ("three", "third"), ("five", "fifth"),
                    ("eight", "eighth"), ("nine", "ninth"), ("twelve", "twelfth"), ("y", "ieth")]
         return let(
-            cardinal(n, lang),
+            cardinal(d, lang),
             lambda w: "case "
             + " ".join(f"when endswith({w}, '{end}') then regexp_replace({w}, '{end}$', '{new}')" for end, new in endings)
             + f" else concat({w}, 'th') end",
         )
-    stem = "w"
-    for end, new in (("cinq$", "cinqu"), ("neuf$", "neuv"), ("(cent|vingt)s$", "$1"), ("e$", "")):
-        stem = f"regexp_replace({stem}, '{end}', '{new}')"
-    return let(cardinal(n, lang), lambda w: f"if({n} = 1, 'premier', concat({stem.replace('(w,', f'({w},', 1)}, 'ième'))")
+    if lang == "fr":
+        stem = "w"
+        for end, new in (("cinq$", "cinqu"), ("neuf$", "neuv"), ("(cent|vingt)s$", "$1"), ("e$", "")):
+            stem = f"regexp_replace({stem}, '{end}', '{new}')"
+        return let(cardinal(d, lang), lambda w: f"if({d} = '1', 'premier', concat({stem.replace('(w,', f'({w},', 1)}, 'ième'))")
+    if lang == "de":
+        endings = [("eins", "erste"), ("drei", "dritte"), ("sieben", "siebte"), ("acht", "achte")]
+        return let(
+            cardinal(d, lang),
+            lambda w: "case "
+            + " ".join(f"when endswith({w}, '{end}') then regexp_replace({w}, '{end}$', '{new}')" for end, new in endings)
+            + f" when cast(right({d}, 2) as int) between 1 and 19 or {d} = '0' then concat({w}, 'te') else concat({w}, 'ste') end",
+        )
+    head = f"substring({d}, 1, length({d}) - 3)"
+    thousands = f"if({head} = '1', 'milésimo', concat({cardinal(head, 'es')}, ' milésimo'))"
+    rest = f"nullif({_pick('es_ordinal', f'right({d}, 3)')}, '')"
+    return f"if({d} = '0', 'cero', concat_ws(' ', if(length({d}) > 3, {thousands}, null), {rest}))"

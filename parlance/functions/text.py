@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.columns import collapse_whitespace
 from parlance.functions.fixed import CURRENCIES, DENOMINATORS, MONTHS, SYMBOLS
-from parlance.functions.numbers import LIMIT, SPELLED, cardinal, let, ordinal, with_names
+from parlance.functions.numbers import SPELLED, cardinal, let, ordinal, with_names
 
 W = r"[\p{L}\p{N}_]"
 NOT_W = r"[^\p{L}\p{N}_]"
@@ -144,7 +144,7 @@ def roman_value(token: str) -> str:
 
 def replace_roman(text: str, lang: str) -> str:
     is_ordinal = f"({roman_letters('t')} <> t)"
-    word = spell(roman_value("t"), lang, is_ordinal)
+    word = spell(f"cast({roman_value('t')} as string)", lang, is_ordinal)
     edge = f"regexp_replace(acc, concat({_sql(EDGE_BEFORE)}, t, {_sql(EDGE_AFTER)}), {word})"
     folded = f"aggregate({roman_tokens(text, lang)}, {text}, (acc, t) -> {edge})"
     return with_names(f"if({text} rlike '[IVX]' and {_spellable(lang)}, {folded}, {text})")
@@ -203,12 +203,17 @@ _HIDE = f"'0123456789', '{_HIDDEN}'"
 _SHOW = f"'{_HIDDEN}', '0123456789'"
 
 
-def spell(n: str, lang: str, is_ordinal: str = "false") -> str:
-    """Words of the bigint expression ``n`` (null-safe choice by language and kind)."""
+def shown(text: str) -> str:
+    """Bring the digits back that :func:`number_words` and :func:`undigit` left unspelled."""
+    return f"translate({text}, {_SHOW})"
+
+
+def spell(d: str, lang: str, is_ordinal: str = "false", negative: str = "false") -> str:
+    """Words of the digit string ``d`` (null-safe choice by language and kind)."""
     branches = " ".join(
-        f"when {_sql(code)} then if({is_ordinal}, {ordinal(n, code)}, {cardinal(n, code)})"
+        f"when {_sql(code)} then if({is_ordinal}, {ordinal(d, code)}, {cardinal(d, code, negative)})"
         if is_ordinal != "false"
-        else f"when {_sql(code)} then {cardinal(n, code)}"
+        else f"when {_sql(code)} then {cardinal(d, code, negative)}"
         for code in SPELLED
     )
     return f"case {lang} {branches} end"
@@ -218,19 +223,24 @@ def undigit(digits: str, lang: str, to: str = "cardinal") -> str:
     """A digit string to words: leading zeros one by one, some denominators by name."""
     return let(
         f"replace({digits}, ' ', '')",
-        lambda bare: let(f"try_cast({bare} as bigint)", lambda number: _undigit(bare, number, lang, to)),
+        lambda bare: let(
+            f"if({bare} rlike '^-?[0-9]+$', regexp_replace({bare}, '^-?0*([0-9])', '$1'), null)",
+            lambda number: _undigit(bare, number, lang, to),
+        ),
     )
 
 
 def _undigit(bare: str, number: str, lang: str, to: str) -> str:
+    """``number`` is the digit string of ``bare`` without sign and leading zeros, null if it is none."""
     hidden = f"translate({bare}, {_HIDE})"
     if to == "cardinal":
         zeros = f"length(regexp_extract({bare}, '^0+', 0))"
-        zero_word = f"if({lang} = 'fr', 'zéro ', 'zero ')"
-        words = f"concat(if({zeros} < length({bare}), repeat({zero_word}, {zeros}), ''), {spell(number, lang)})"
+        zero_word = f"case {lang} when 'fr' then 'zéro ' when 'de' then 'null ' when 'es' then 'cero ' else 'zero ' end"
+        spoken = spell(number, lang, negative=f"({bare} like '-%')")
+        words = f"concat(if({zeros} < length({bare}), repeat({zero_word}, {zeros}), ''), {spoken})"
     else:
         words = spell(number, lang, "true")
-    spelled = f"if(abs({number}) < {LIMIT}, coalesce({words}, {hidden}), {hidden})"
+    spelled = f"coalesce({words}, {hidden})"
     if to != "denominator":
         return spelled
     named = " ".join(

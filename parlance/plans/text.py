@@ -19,52 +19,67 @@ def _list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-def _en_small(n: str) -> str:
-    def below(r: str) -> str:
-        return (f"CASE WHEN {r} < 20 THEN {_list(N.EN_UNITS)}[{r} + 1] ELSE {_list(N.EN_TENS)}[{r} // 10 - 1] || "
-                f"CASE WHEN {r} % 10 > 0 THEN '-' || {_list(N.EN_UNITS)}[{r} % 10 + 1] ELSE '' END END")
+NAMES = "names AS (SELECT " + ", ".join(f"{_list(N.small_numbers(lang))} AS {lang}" for lang in (*N.SPELLED, "es_ordinal")) + ")"
 
-    return (f"CASE WHEN {n} < 100 THEN {below(n)} ELSE {_list(N.EN_UNITS)}[{n} // 100 + 1] || ' hundred' || "
-            f"CASE WHEN {n} % 100 > 0 THEN ' and ' || {below(f'({n} % 100)')} ELSE '' END END")
 
-
-def _fr_small(n: str) -> str:
-    units, tens = _list(N.FR_UNITS), _list(N.FR_TENS)
-
-    def below(r: str) -> str:
-        return (f"CASE WHEN {r} < 20 THEN {units}[{r} + 1] WHEN {r} = 80 THEN 'quatre-vingts' "
-                f"WHEN {r} > 80 THEN 'quatre-vingt-' || {units}[{r} - 79] "
-                f"WHEN {r} IN (21, 31, 41, 51, 61) THEN {tens}[{r} // 10 - 1] || ' et un' WHEN {r} = 71 THEN 'soixante et onze' "
-                f"WHEN {r} > 60 THEN 'soixante-' || {units}[{r} - 59] WHEN {r} % 10 = 0 THEN {tens}[{r} // 10 - 1] "
-                f"ELSE {tens}[{r} // 10 - 1] || '-' || {units}[{r} % 10 + 1] END")
-
-    return (f"CASE WHEN {n} < 100 THEN {below(n)} ELSE CASE WHEN {n} >= 200 THEN {units}[{n} // 100 + 1] || ' ' ELSE '' END || 'cent' || "
-            f"CASE WHEN {n} % 100 > 0 THEN ' ' || {below(f'({n} % 100)')} WHEN {n} >= 200 THEN 's' ELSE '' END END")
-
-
-NAMES = f"""names AS (SELECT list({_en_small('n')} ORDER BY n) AS en, list({_fr_small('n')} ORDER BY n) AS fr
-  FROM (SELECT unnest(range(1000)) AS n))"""
+def _parts(n: str, size: int, top: int) -> list[tuple[str, int]]:
+    return [(f"(abs({n}) // {1000 ** (size * i)} % {1000 ** size})", i) for i in range(top, -1, -1)]
 
 
 def card(n: str, lang: str) -> str:
-    """Cardinal words of an SQL integer below 10^9; needs ``names`` in scope."""
+    """Cardinal words of an SQL integer below 10^18; needs ``names`` in scope."""
     a = f"abs({n})"
-    m, t, r = f"({a} // 1000000)", f"({a} // 1000 % 1000)", f"({a} % 1000)"
-    if lang == "en":
-        return (f"(CASE WHEN {n} < 0 THEN 'minus ' ELSE '' END || CASE WHEN {m} > 0 THEN en[{m} + 1] || ' million' ELSE '' END || "
-                f"CASE WHEN {t} > 0 THEN CASE WHEN {m} > 0 THEN ', ' ELSE '' END || en[{t} + 1] || ' thousand' ELSE '' END || "
-                f"CASE WHEN {a} < 1000 THEN en[{r} + 1] WHEN {r} = 0 THEN '' WHEN {r} < 100 THEN ' and ' || en[{r} + 1] ELSE ', ' || en[{r} + 1] END)")
-    return (f"(CASE WHEN {n} < 0 THEN 'moins ' ELSE '' END || trim(CASE WHEN {m} = 1 THEN 'un million ' WHEN {m} > 1 THEN fr[{m} + 1] || ' millions ' ELSE '' END || "
-            f"CASE WHEN {t} = 1 THEN 'mille ' WHEN {t} > 1 THEN regexp_replace(fr[{t} + 1], '(cent|vingt)s$', '\\1') || ' mille ' ELSE '' END || "
-            f"CASE WHEN {r} > 0 OR {a} = 0 THEN fr[{r} + 1] ELSE '' END))")
+    pick = lambda v: f"{lang}[{v} + 1]"
+    out = []
+    if lang == "es":
+        short = lambda w: f"regexp_replace(regexp_replace({w}, 'veintiuno$', 'veintiún'), 'uno$', 'un')"
+        for v, i in _parts(n, 2, 2):
+            below = (f"concat_ws(' ', CASE WHEN {v} >= 2000 THEN {short(pick(f'({v} // 1000)'))} || ' mil' WHEN {v} >= 1000 THEN 'mil' END, "
+                     f"CASE WHEN {v} % 1000 > 0 THEN {pick(f'({v} % 1000)')} END)")
+            if i:
+                scale = N.ES_SCALES[i - 1]
+                below = f"CASE WHEN {v} = 1 THEN 'un {scale}' WHEN {v} > 1 THEN {short(below)} || ' {scale.replace('ón', 'ones')}' END"
+            out.append(f"nullif({below}, '')")
+        words = f"concat_ws(' ', {', '.join(out)})"
+    elif lang == "en":
+        for v, i in _parts(n, 1, 5)[:-1]:
+            out.append(f"CASE WHEN {v} > 0 THEN {pick(v)} || ' {N.EN_SCALES[i - 1]}' END")
+        rest = f"({a} % 1000)"
+        words = f"concat_ws(CASE WHEN {rest} < 100 THEN ' and ' ELSE ', ' END, nullif(concat_ws(', ', {', '.join(out)}), ''), CASE WHEN {rest} > 0 THEN {pick(rest)} END)"
+    elif lang == "fr":
+        for v, i in _parts(n, 1, 5):
+            name = pick(v) if not i else f"{pick(v)} || ' {N.FR_SCALES[i - 1]}' || CASE WHEN {v} > 1 THEN 's' ELSE '' END"
+            if i == 1:
+                name = f"CASE WHEN {v} = 1 THEN 'mille' ELSE regexp_replace({pick(v)}, '(cent|vingt)s$', '\\1') || ' mille' END"
+            out.append(f"CASE WHEN {v} > 0 THEN {name} END")
+        words = f"concat_ws(' ', {', '.join(out)})"
+    else:
+        for v, i in _parts(n, 1, 5):
+            if i > 1:
+                scale = N.DE_SCALES[i - 1]
+                name = f"CASE WHEN {v} = 1 THEN 'eine {scale} ' ELSE {pick(v)} || ' {scale}{'n' if scale.endswith('e') else 'en'} ' END"
+            else:
+                name = pick(v) if not i else f"regexp_replace({pick(v)}, 'eins$', 'ein') || 'tausend'"
+            out.append(f"CASE WHEN {v} > 0 THEN {name} ELSE '' END")
+        words = f"rtrim({' || '.join(out)})"
+    return f"(CASE WHEN {n} < 0 THEN '{N.MINUS[lang]}' ELSE '' END || CASE WHEN {a} = 0 THEN {pick('0')} ELSE {words} END)"
 
 
 def ordi(n: str, lang: str) -> str:
+    if lang == "es":
+        t = f"({n} // 1000)"
+        return (f"CASE WHEN {n} = 0 THEN 'cero' ELSE concat_ws(' ', CASE WHEN {t} = 1 THEN 'milésimo' WHEN {t} > 1 THEN {card(t, 'es')} || ' milésimo' END, "
+                f"nullif(es_ordinal[{n} % 1000 + 1], '')) END")
     word = card(n, lang)
     if lang == "fr":
         for end, new in (("cinq$", "cinqu"), ("neuf$", "neuv"), ("(cent|vingt)s$", "\\1"), ("e$", "")):
             word = f"regexp_replace({word}, '{end}', '{new}')"
         return f"CASE WHEN {n} = 1 THEN 'premier' ELSE {word} || 'ième' END"
+    if lang == "de":
+        for end, new in (("eins", "ers§"), ("drei", "drit§"), ("sieben", "sieb§"), ("acht", "ach§")):
+            word = f"regexp_replace({word}, '{end}$', '{new}')"
+        tail = f"CASE WHEN {n} % 100 BETWEEN 1 AND 19 OR {n} = 0 THEN 'te' ELSE 'ste' END"
+        return f"(SELECT CASE WHEN w LIKE '%§' THEN replace(w, '§', 'te') ELSE w || {tail} END FROM (SELECT {word} AS w))"
     for end, new in (("one", "fir§"), ("two", "seco§"), ("three", "thi§"), ("five", "fif§"), ("eight", "eigh§"),
                      ("nine", "nin§"), ("twelve", "twelf§"), ("y", "ie§")):
         word = f"regexp_replace({word}, '{end}$', '{new}')"
@@ -73,7 +88,7 @@ def ordi(n: str, lang: str) -> str:
 
 
 def by_lang(n: str, rule, otherwise: str = "NULL") -> str:
-    return f"CASE lang WHEN 'en' THEN {rule(n, 'en')} WHEN 'fr' THEN {rule(n, 'fr')} ELSE {otherwise} END"
+    return f"CASE lang WHEN 'en' THEN {rule(n, 'en')} WHEN 'fr' THEN {rule(n, 'fr')} WHEN 'es' THEN {rule(n, 'es')} ELSE {otherwise} END"
 
 
 _LANG = "['en', 'fr', 'en', 'fr', 'es'][o_orderkey % 5 + 1]"
@@ -157,7 +172,7 @@ counted AS (SELECT *, r <> token AS ordinal,
 SELECT order_id, token, value, CASE WHEN ordinal THEN {by_lang('value', ordi)} ELSE {by_lang('value', card)} END AS words
 FROM counted, names""")
 def roman_numerals(spark, d):
-    words = X.spell(X.roman_value("token"), "lang", f"({X.roman_letters('token')} <> token)")
+    words = X.spell(f"cast({X.roman_value('token')} as string)", "lang", f"({X.roman_letters('token')} <> token)")
     return (
         T.numeric_lines(spark, d)
         .select("order_id", "lang", F.explode_outer(F.expr(X.roman_tokens("text", "lang"))).alias("token"))
@@ -206,14 +221,14 @@ def _denominator(d: str) -> str:
 
 _DAY = (f"CASE WHEN (lang = 'fr' AND c[1] = 1) OR (lang <> 'fr' AND right(p[1], 1) IN ('1', '2', '3')) "
         f"THEN {by_lang('c[1]', ordi)} ELSE {by_lang('c[1]', card)} END")
-_MONTH_SQL = f"CASE lang WHEN 'en' THEN {_list(MONTHS['en'])}[c[2]] ELSE {_list(MONTHS['fr'])}[c[2]] END"
+_MONTH_SQL = f"CASE lang WHEN 'en' THEN {_list(MONTHS['en'])}[c[2]] WHEN 'fr' THEN {_list(MONTHS['fr'])}[c[2]] ELSE p[2] END"
 _IS_DAY = "TRY_CAST(p[1] AS BIGINT) BETWEEN 1 AND 31 AND TRY_CAST(p[2] AS BIGINT) BETWEEN 1 AND 12 AND len(p[2]) = 2"
 
 
 def _with_zeros(i: int) -> str:
     bare = f"replace(p[{i}], ' ', '')"
     zeros = f"CASE WHEN ltrim({bare}, '0') = '' THEN 0 ELSE len({bare}) - len(ltrim({bare}, '0')) END"
-    return f"repeat(CASE lang WHEN 'fr' THEN 'zéro ' ELSE 'zero ' END, {zeros}) || {by_lang(f'c[{i}]', card)}"
+    return f"repeat(CASE lang WHEN 'fr' THEN 'zéro ' WHEN 'es' THEN 'cero ' ELSE 'zero ' END, {zeros}) || {by_lang(f'c[{i}]', card)}"
 
 
 _CHAIN = " || ' / ' || ".join(_with_zeros(i) for i in (1, 2, 3))
@@ -227,15 +242,14 @@ SELECT order_id, token, CASE
   ELSE {_CHAIN} END AS words
 FROM (SELECT *, CASE WHEN len(p) = 2 THEN {_denominator('c[2]')} END AS below
       FROM (SELECT order_id, lang, token, string_split(token, '/') AS p,
-              list_transform(string_split(token, '/'), lambda x: CAST(replace(x, ' ', '') AS BIGINT)) AS c FROM tok WHERE contains(token, '/') AND lang <> 'es'), names)""")
+              list_transform(string_split(token, '/'), lambda x: CAST(replace(x, ' ', '') AS BIGINT)) AS c FROM tok WHERE contains(token, '/')), names)""")
 def fractions_dates(spark, d):
     return (
         T.numeric_lines(spark, d)
-        .filter("lang <> 'es'")
         .select("order_id", "lang", F.explode_outer(F.expr(X.cardinal_tokens("text"))).alias("token"))
         .filter("token is not null")
         .filter(F.contains("token", F.lit("/")))
-        .select("order_id", "token", F.expr(N.with_names(X.number_words("token", "lang"))).alias("words"))
+        .select("order_id", "token", F.expr(N.with_names(X.shown(X.number_words("token", "lang")))).alias("words"))
     )
 
 
@@ -265,16 +279,16 @@ def replace_word_boundaries(spark, d):
 @register("undigit", C.ctes(NAMES, f"""
 src AS (SELECT o_orderkey AS order_id, {_LANG} AS lang, lpad((o_custkey % 100)::VARCHAR, 3, '0') AS digits, (o_custkey % 100)::BIGINT AS n,
           (o_orderkey % 7 + 2)::BIGINT AS below FROM orders)""") + f"""
-SELECT order_id, digits, repeat(CASE lang WHEN 'fr' THEN 'zéro ' ELSE 'zero ' END, CASE WHEN n = 0 THEN 0 WHEN n < 10 THEN 2 ELSE 1 END) ||
+SELECT order_id, digits, repeat(CASE lang WHEN 'fr' THEN 'zéro ' WHEN 'es' THEN 'cero ' ELSE 'zero ' END, CASE WHEN n = 0 THEN 0 WHEN n < 10 THEN 2 ELSE 1 END) ||
   {by_lang('n', card)} AS words, {_denominator('below')} AS denominator
-FROM src, names WHERE lang <> 'es'""")
+FROM src, names""")
 def undigit(spark, d):
     src = T.table(spark, d, "orders").select(
         F.col("o_orderkey").alias("order_id"),
         F.expr(T.NUMERIC_LANG).alias("lang"),
         F.expr("lpad(cast(o_custkey % 100 as string), 3, '0')").alias("digits"),
         F.expr("cast(o_orderkey % 7 + 2 as string)").alias("below"),
-    ).filter("lang <> 'es'")
+    )
     return src.select(
         "order_id",
         "digits",
@@ -283,21 +297,22 @@ def undigit(spark, d):
     )
 
 
-@register("spell_numbers", C.ctes(NAMES, """
-n AS (SELECT DISTINCT (o_orderkey * 7919 % 999983) * (o_custkey % 1000) - 5 AS n FROM orders)""") + f"""
-SELECT n, {card('n', 'en')} AS en, {card('n', 'fr')} AS fr, {ordi('abs(n)', 'en')} AS en_ordinal, {ordi('abs(n)', 'fr')} AS fr_ordinal
-FROM n, names""")
+_LARGE = "(o_orderkey * 7919 % 999983) * (o_custkey % 1000) * (o_orderkey % 4 * 333333 + 1) - 5"
+_SPOKEN = [(rule, lang) for rule in ("cardinal", "ordinal") for lang in N.SPELLED]
+
+
+@register("spell_numbers", C.ctes(NAMES, f"n AS (SELECT DISTINCT {_LARGE} AS n FROM orders)") + "SELECT n, " + ", ".join(
+    f"{card('n', lang)} AS {lang}" if rule == "cardinal" else f"{ordi('abs(n)', lang)} AS {lang}_ordinal" for rule, lang in _SPOKEN
+) + " FROM n, names")
 def spell_numbers(spark, d):
-    distinct = T.table(spark, d, "orders").select(
-        F.expr("(o_orderkey * 7919 % 999983) * (o_custkey % 1000) - 5").alias("n")
-    ).distinct()
-    return distinct.select(
-        "n",
-        F.expr(N.with_names(N.cardinal("n", "en"))).alias("en"),
-        F.expr(N.with_names(N.cardinal("n", "fr"))).alias("fr"),
-        F.expr(N.with_names(N.ordinal("abs(n)", "en"))).alias("en_ordinal"),
-        F.expr(N.with_names(N.ordinal("abs(n)", "fr"))).alias("fr_ordinal"),
-    )
+    distinct = T.table(spark, d, "orders").select(F.expr(_LARGE).alias("n")).distinct()
+    digits = N.digits_of("n")
+    words = [
+        F.expr(N.with_names(N.cardinal(digits, lang, "(n < 0)"))).alias(lang) if rule == "cardinal"
+        else F.expr(N.with_names(N.ordinal(digits, lang))).alias(f"{lang}_ordinal")
+        for rule, lang in _SPOKEN
+    ]
+    return distinct.select("n", *words)
 
 
 @register("normalize_text")

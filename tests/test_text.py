@@ -28,8 +28,12 @@ GOLDEN = [
     ("en", "1 234 567 and 12% a&b 1st 22nd 13th 100th 3rd XXI",
      "one million, two hundred and thirty-four thousand, five hundred and sixty-seven and twelve percent a and b "
      "first twenty-second thirteenth one hundredth third twenty-one"),
-    ("es", "12 y 3/4", "12 y 3/4"),
-    ("en", "12345678901 and 1001 5", "12345678901 and one thousand and one five"),
+    ("es", "12 y 3/4, 1/2 y 21 000", "doce y tres cuartos, uno mitad y veintiún mil"),
+    ("de", "21 und 101 000, -7, XII", "einundzwanzig und einhunderteintausend, minus sieben, zwölf"),
+    ("it", "12 e 3", "12 e 3"),
+    ("en", "12345678901 and 1001 5",
+     "twelve billion, three hundred and forty-five million, six hundred and seventy-eight thousand, nine hundred and one "
+     "and one thousand and one five"),
     ("fr", "1/08 m² 25°C 3+4 5*6", "premier août mètres carrés vingt-cinq degrés Celsius trois plus quatre cinq fois six"),
     ("en", "no digits  here", "no digits here"),
     ("en", "costs 5$ or 7*2", "costs five dollars or seven times two"),
@@ -91,7 +95,7 @@ def test_roman(one):
 ])
 def test_numbers(spark, n, en, fr, en_th, fr_th):
     row = spark.range(1).select(
-        *[F.expr(N.with_names(rule(f"{n}L", lang))).alias(f"{lang}{i}") for i, rule in enumerate((N.cardinal, N.ordinal)) for lang in ("en", "fr")]
+        *[F.expr(N.with_names(rule(f"'{n}'", lang))).alias(f"{lang}{i}") for i, rule in enumerate((N.cardinal, N.ordinal)) for lang in ("en", "fr")]
     ).first()
     assert (row.en0, row.fr0, row.en1) == (en, fr, en_th)
     if n != 200_000_000:
@@ -146,3 +150,31 @@ def test_wordpieces(spark):
     assert got["unaffable"] == (2, ["un", "##aff", "##able"], True)
     assert got["Un"] == (1, ["Un"], True)
     assert got["xyz"][2] is False and got["un" * 60][2] is False
+
+
+@pytest.mark.parametrize("n,de,es,de_th,es_th", [
+    (0, "null", "cero", "nullte", "cero"),
+    (1, "eins", "uno", "erste", "primero"),
+    (27, "siebenundzwanzig", "veintisiete", "siebenundzwanzigste", "vigésimo séptimo"),
+    (101, "einhunderteins", "ciento uno", "einhunderterste", "centésimo primero"),
+    (1100, "eintausendeinhundert", "mil cien", "eintausendeinhundertste", "milésimo centésimo"),
+    (31_000, "einunddreißigtausend", "treinta y un mil", "einunddreißigtausendste", "treinta y uno milésimo"),
+    (1_000_000, "eine Million", "un millón", None, None),
+    (2_021_000_003, "zwei Milliarden einundzwanzig Millionen drei", "dos mil veintiún millones tres", None, None),
+])
+def test_german_and_spanish_numbers(spark, n, de, es, de_th, es_th):
+    row = spark.range(1).select(
+        *[F.expr(N.with_names(rule(f"'{n}'", lang))).alias(f"{lang}{i}") for i, rule in enumerate((N.cardinal, N.ordinal)) for lang in ("de", "es")]
+    ).first()
+    assert (row.de0, row.es0) == (de, es)
+    if de_th:
+        assert (row.de1, row.es1) == (de_th, es_th)
+
+
+def test_numbers_of_any_length(spark):
+    row = spark.range(1).select(
+        F.expr(N.with_names(N.cardinal("'1000000000000000000000000000000000001'", "en"))).alias("long"),
+        F.expr(N.with_names(N.cardinal("'999000000000000000000000000000000000'", "en"))).alias("top"),
+    ).first()
+    assert row.top == "nine hundred and ninety-nine decillion"
+    assert row.long == "one " + "zero " * 35 + "one"
