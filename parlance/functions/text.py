@@ -89,14 +89,12 @@ def transliterate(text: Column) -> Column:
         text = F.replace(text, F.lit(char), F.lit(plain))
     one_from, one_to, several = _ascii_forms()
     text = F.translate(text, one_from, one_to)
-    # Characters that become several (ligatures, fractions) are rare: only such texts are taken apart.
+    # Characters that become several (ligatures, fractions) are rare: those that a text has are replaced one by one.
     table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{p}" for c, p in several.items())), F.lit("\x01"), F.lit("\x02"))
     rare = F.lit("[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in _ranges(several)) + "]")
-    expanded = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
-    )
-    left = F.regexp_replace(text, r"[\x00-\x7F]+", "")
-    text = F.when((left != "") & F.rlike(left, rare), expanded).otherwise(text)
+    found = F.array_distinct(F.regexp_extract_all(text, rare, F.lit(0)))
+    expanded = F.aggregate(found, text, lambda acc, c: F.replace(acc, c, F.try_element_at(table, c)))
+    text = F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), expanded).otherwise(text)
     return F.regexp_replace(text, r"[^\x00-\x7F]", "")
 
 

@@ -92,7 +92,20 @@ def remove_disfluencies(spark, d):
     return _filler_lines(spark, d).select("doc_id", "line_no", R.remove_disfluencies(F.col("line"), F.col("lang")).alias("text"))
 
 
-@register("restore_disfluencies")
+_BARE = rf"trim(regexp_replace(translate(line, '{_PUNCT}', ''), '\\s+', ' ', 'g'))"
+_RESTORED = _FILLERS.rstrip() + rf""",
+b AS (SELECT doc_id, line_no, lang, regexp_replace({_BARE}, '([\p{{L}}\p{{N}}_]) *'' *([\p{{L}}\p{{N}}_])', '\1''\2', 'g') AS line FROM f),
+h AS (SELECT doc_id, line_no, list(start::VARCHAR || '|' || hit ORDER BY start, hit) AS hits FROM (@hits) GROUP BY 1, 2),
+c AS (SELECT b.*, hits, trim(regexp_replace(CASE WHEN lang = 'fr' THEN regexp_replace(regexp_replace(line, ' *\beuh\b *', ' ', 'g'), ' *\bheu\b *', ' ', 'g')
+        ELSE line END, '\s+', ' ', 'g')) || '.' AS clean FROM b LEFT JOIN h USING (doc_id, line_no))
+SELECT doc_id, line_no, CASE WHEN hits IS NULL THEN clean ELSE list_reduce(list_concat([clean], hits), lambda acc, x:
+    acc[1 : string_split(x, '|')[1]::BIGINT + length(clean[1 : string_split(x, '|')[1]::BIGINT]) - length(translate(clean[1 : string_split(x, '|')[1]::BIGINT], '{_PUNCT}', ''))]
+    || rtrim(substring(x, position('|' in x) + 1)) ||
+    substring(acc, string_split(x, '|')[1]::BIGINT + length(clean[1 : string_split(x, '|')[1]::BIGINT]) - length(translate(clean[1 : string_split(x, '|')[1]::BIGINT], '{_PUNCT}', '')) + 1)) END AS text
+FROM c"""
+
+
+@register("restore_disfluencies", _RESTORED.replace("@hits", " UNION ALL ".join(_hits(w).replace("FROM f WHERE", "FROM b WHERE") for w in ("euh", "heu"))))
 def restore_disfluencies(spark, d):
     bare = A.glue_apostrophes(collapse_whitespace(R.drop_mapped_punct(F.col("line"))))
     return (
