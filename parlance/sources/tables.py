@@ -275,7 +275,11 @@ def hypotheses(turn_rows: DataFrame) -> DataFrame:
         .withColumn("words", F.expr(f"slice({HYP_SHOWN}, 1, heard - greatest(4 * iter - 12, 0))"))
         .withColumn("buffer_end", F.expr("ws[heard - 1].end + if(eof, 0.5D, if(iter % 3 = 0, 0.02D, 0.1D))"))
     )
-    return shown.select("session", F.expr("cast(iter + int(eof) as bigint)").alias("iter"), "words", "buffer_end", "eof", "ws")
+    # the recognizer cuts its own segments after every eighth word; the newest one is still open
+    ends = "transform(filter(transform(words, (w, j) -> struct(w.end as t, greatest(4 * iter - 12, 0) + j + 1 as n)), x -> x.n % 8 = 0 or x.n = heard), x -> x.t)"
+    return shown.select(
+        "session", F.expr("cast(iter + int(eof) as bigint)").alias("iter"), "words", "buffer_end", "eof", "ws", F.expr(ends).alias("segment_ends")
+    )
 
 
 # Every event as the message a live client would send.

@@ -1,9 +1,9 @@
 """Local agreement per session: partial hypotheses become final text.
 
-One small step function serves three runs: a bounded-memory batch pass over rows sorted by
-session, the stateful stream operator, and tests. The state of a session is bounded: committed
-words are kept only while they lie inside the recognizer's buffer (at least the last five for the
-repeat check), and the buffer is one hypothesis.
+One small step function serves three runs: a batch pass over rows sorted by session, the stateful
+stream operator, and tests. Committed words are kept only while they lie inside the recognizer's
+buffer, and the buffer is one hypothesis; words that wait for a final are kept until one is due,
+which the speaker's pauses decide.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from parlance.functions.fixed import ASCII_PUNCTUATION, BUFFER_TRIMMING_S, PAUSE_FOR_FINAL_S
 
@@ -30,6 +30,7 @@ class Settings:
     final_min_words: int | None = None
     edge: float = 0.05
     partials_per_second: float = 0
+    idle: float | None = None
 
 
 @dataclass
@@ -83,8 +84,7 @@ def _trim(words: list, buffer_end: float, segment_ends: list, state: Session) ->
         state.offset = buffer_end - 2
     else:
         return
-    inside = [w for w in state.committed if w[1] > state.offset]
-    state.committed = inside if len(inside) >= 5 else state.committed[-5:]
+    state.committed = [w for w in state.committed if w[1] > state.offset]
 
 
 def _final_ready(state: Session, buffer_end: float, settings: Settings) -> bool:
@@ -129,17 +129,21 @@ def step(state: Session, hyp: dict, settings: Settings, pending: bool = False) -
             state.finals = []
             state.sent_at = None
     if hyp["eof"]:
-        rest = _emission("final", state.finals + state.buffer)
-        text = "".join(e[3] for e in [*out, rest])
-        starts = [e[1] for e in [*out, rest] if e[1] is not None]
-        ends = [e[2] for e in [*out, rest] if e[2] is not None]
-        state.finals, state.buffer, state.committed = [], [], []
-        return [("final", min(starts, default=None), max(ends, default=None), text)]
+        return [finish(state, out)]
     if not out and (state.finals or state.buffer) and _may_send(state, hyp.get("at"), settings, pending):
         out.append(_emission("partial", state.finals + state.buffer))
     return out
 
 
+def finish(state: Session, out: list[tuple] = ()) -> tuple:
+    """The last final of a session: all that is committed or still in the buffer, behind ``out``."""
+    rest = _emission("final", state.finals + state.buffer)
+    starts = [e[1] for e in [*out, rest] if e[1] is not None]
+    ends = [e[2] for e in [*out, rest] if e[2] is not None]
+    state.finals, state.buffer, state.committed = [], [], []
+    return "final", min(starts, default=None), max(ends, default=None), "".join(e[3] for e in [*out, rest])
+
+
 def _may_send(state: Session, at: float | None, settings: Settings, pending: bool) -> bool:
     if not settings.partials_per_second or at is None:
         return True
@@ -152,6 +156,8 @@ def _may_send(state: Session, at: float | None, settings: Settings, pending: boo
 def _rows(batch: pd.DataFrame) -> Iterator[dict]:
     for row in batch.to_dict("records"):
         row["words"] = [(w["start"], w["end"], w["word"]) for w in row["words"]]
+        if row.get("segment_ends") is not None:
+            row["segment_ends"] = [float(e) for e in row["segment_ends"]]
         yield row
 
 
@@ -189,26 +195,51 @@ def agree_batch(hyps: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return spread.mapInPandas(run, EMISSION_SCHEMA)
 
 
-def agree_stream(hyps: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Emissions of a stream of hypotheses, append mode.
+class Agreement(StatefulProcessor):
+    """The step function with one JSON value of state for each session.
 
-    The state of a session is one JSON value that travels with its rows in Arrow batches, which
-    suits many short sessions. A session ends with its ``eof`` row and its state goes with it.
+    A session ends with its ``eof`` row, or, where ``idle`` is set, as many seconds after its last
+    row: a timer then sends what is left as a final. Its state goes with it.
     """
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], saved: GroupState) -> Iterator[pd.DataFrame]:
-        state = Session(**json.loads(saved.get[0])) if saved.exists else Session()
-        rows = sorted((row for batch in batches for row in _rows(batch)), key=lambda r: r["iter"])
+    def __init__(self, settings: Settings):
+        self.settings = settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.saved = handle.getValueState("session", "state string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = Session(**json.loads(self.saved.get()[0])) if self.saved.exists() else Session()
+        steps = sorted((row for batch in rows for row in _rows(batch)), key=lambda r: r["iter"])
         out = []
-        for i, row in enumerate(rows):
-            out += [(key[0], row["iter"], *e) for e in step(state, row, settings, i + 1 < len(rows))]
-        if any(row["eof"] for row in rows):
-            if saved.exists:
-                saved.remove()
+        for i, row in enumerate(steps):
+            out += [(key[0], row["iter"], *e) for e in step(state, row, self.settings, i + 1 < len(steps))]
+        if self.settings.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if any(row["eof"] for row in steps):
+            self.saved.clear()
         else:
-            saved.update((json.dumps(state.__dict__),))
+            self.saved.update((json.dumps(state.__dict__),))
+            if self.settings.idle is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.settings.idle * 1000))
         yield _frame(out)
 
-    return _needed(hyps).groupBy("session").applyInPandasWithState(
-        advance, EMISSION_SCHEMA, "state string", "append", "NoTimeout"
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.saved.exists():
+            state = Session(**json.loads(self.saved.get()[0]))
+            self.saved.clear()
+            if state.finals or state.buffer:
+                yield _frame([(key[0], state.last_iter, *finish(state))])
+
+    def close(self) -> None:
+        pass
+
+
+def agree_stream(hyps: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Emissions of a stream of hypotheses, append mode; needs the RocksDB state store."""
+    mode = "None" if settings.idle is None else "ProcessingTime"
+    return _needed(hyps).groupBy("session").transformWithStateInPandas(
+        Agreement(settings), outputStructType=EMISSION_SCHEMA, outputMode="Append", timeMode=mode
     )

@@ -1,5 +1,6 @@
 """Whole sessions, unmapped times, long bursts, folder streams, fillers and fields of several languages."""
 
+import glob
 import os
 import subprocess
 import sys
@@ -139,3 +140,34 @@ print("ROWS", entry.queries()["stream_agreement"](spark, "/root/testdata/sf0.001
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", f"ROOT = {root!r}\n{code}"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "ROWS 1737" in done.stdout, done.stderr[-2000:]
+
+
+def test_idle_sessions_end_by_a_timer(spark, tmp_path):
+    """Two sessions without eof: their words come out once the idle time is over."""
+    from parlance.streaming import agreement
+
+    schema = "session string, iter long, words array<struct<start:double,end:double,word:string>>, buffer_end double, eof boolean"
+
+    def put(name, session, it):
+        words = [(i * 0.6, i * 0.6 + 0.5, f"w{i}") for i in range(3 * it)]
+        spark.createDataFrame([(session, it, words, words[-1][1] + 0.3, False)], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", run.ROCKSDB)
+    try:
+        put("a", "a", 1)
+        put("b", "b", 1)
+        stream = agreement.agree_stream(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"), agreement.Settings(idle=1.0))
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+        query = query.outputMode("append").trigger(processingTime="500 milliseconds").start()
+        until = time.time() + 40
+        while time.time() < until and query.isActive:
+            time.sleep(1)
+            done = glob.glob(f"{tmp_path}/out/*.parquet")
+            if done and {r.session for r in spark.read.schema(agreement.EMISSION_SCHEMA).parquet(f"{tmp_path}/out").filter("kind = 'final'").collect()} == {"a", "b"}:
+                break
+        query.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    rows = spark.read.schema(agreement.EMISSION_SCHEMA).parquet(f"{tmp_path}/out").filter("kind = 'final'").collect()
+    assert {(r.session, r.text) for r in rows} == {("a", "w0 w1 w2"), ("b", "w0 w1 w2")}
