@@ -18,12 +18,16 @@ null id is kept; an empty table gives an empty result; other columns are not loo
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,26 +39,113 @@ from parlance.llm.registry import register
 VOCABULARY, CLOSING, WINDOW = "word_bpe_49k.json", 1, 2048
 #: Buckets of one rest length; a third member of a combination is a multiple of STEP; solver rounds.
 BUCKETS, STEP, ROUNDS = 64, 16, 120
-#: Chunks between blanks whose ids a task remembers.
-REMEMBERED, LONGEST = 200_000, 48
+#: Chunks a generation remembers and the longest of them; characters and new chunks that are worked on together.
+REMEMBERED, LONGEST, PART, TOGETHER = 300_000, 48, 1_000_000, 4_096
 
 
-class _Chunks(dict):
-    """Ids of a chunk as bytes; blanks part words, so a chunk's ids do not depend on its neighbours."""
+class _Chunks:
+    """Ids of the chunks between blanks; blanks part words, so a chunk's ids do not depend on its neighbours.
+
+    Chunks are remembered in two generations: when the newer one is full it becomes the older, and
+    chunks that are met again move over. A new chunk that is one Latin word, perhaps with a mark
+    behind it, is merged by the ranks of the tokenizer's own vocabulary (the end of a word is a byte
+    that no text has); the tests hold this against the tokenizer. All other new chunks of a part go
+    to the tokenizer in one call, joined by blanks, and are told apart by the places of the ids.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = _dtype(self.tokenizer)
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.merged = _word_merger(path)
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, self.dtype).tobytes() for m in _MARKS}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        part: list[str] = []
+        size = 0
+        for text in texts:
+            part.append(text)
+            size += len(text)
+            if size >= PART:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        seen: set[str] = set()
+        for chunks in split:
+            seen.update(chunks)
+        long = self._learn(seen)
+        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        for chunk in long:
+            self.known.pop(chunk, None)
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {"": b""}, self.known
+        return out
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def _learn(self, seen: set[str]) -> list[str]:
+        known, older, merged, code, marks = self.known, self.older, self.merged, self.code, self.marks
+        rest, long = [], []
+        for chunk in [c for c in seen if c not in known]:
+            ids = older.get(chunk)
+            if ids is None:
+                found = _LATIN_WORD.fullmatch(chunk)
+                if found and merged:
+                    ids = array(code, merged(found[1].lower().encode() + _WORD_END)).tobytes() + marks[found[2]]
+                else:
+                    rest.append(chunk)
+                if len(chunk) > LONGEST:
+                    long.append(chunk)
+            known[chunk] = ids
+        for at in range(0, len(rest), TOGETHER):
+            self._ask(rest[at : at + TOGETHER])
+        return long
+
+    def _ask(self, chunks: list[str]) -> None:
+        found = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        ids = np.array(found.ids, self.dtype).tobytes()
+        starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])
+        places = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+        ends = np.searchsorted(places, starts[1:]) * self.dtype.itemsize
+        first = 0
+        for chunk, end in zip(chunks, ends.tolist(), strict=True):
+            self.known[chunk] = ids[first:end]
+            first = end
+
+
+#: Letters that no normal form changes and whose lower case is one letter, and marks that stand alone.
+_MARKS = ("", ".", ",", "!", "?", ";", ":")
+_LATIN_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,!?;:]?)")
+_WORD_END = b"\xff"
+
+
+def _word_merger(path: str):
+    """Byte pairs of one word, its end as a last byte, merged by rank; None if the vocabulary is of another kind."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    suffix = model.get("end_of_word_suffix")
+    if not suffix or model.get("continuing_subword_prefix"):
+        return None
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    ranks = {}
+    for token, rank in model["vocab"].items():
+        ends = token.endswith(suffix) and len(token) > len(suffix)
+        body = token[: -len(suffix)] if ends else token
+        if all(c in byte_of for c in body):
+            ranks[bytes(byte_of[c] for c in body) + (_WORD_END if ends else b"")] = rank
+    if any(bytes([b]) not in ranks for b in range(256)):
+        return None
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
+def _dtype(tokenizer: Tokenizer) -> np.dtype:
+    return np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
 
 @functools.cache
@@ -63,15 +154,15 @@ def _chunks(path: str) -> _Chunks:
 
 
 def tokens(docs: DataFrame, path: str | None = None, closing: int = CLOSING, key: str = "doc_id") -> DataFrame:
-    """(key, n, ids binary) of every row: little-endian unsigned 32-bit ids, the closing id last."""
+    """(key, n, ids binary) of every row: little-endian ids of two bytes (four for large vocabularies), the closing id last."""
     path = path or public_tokenizers.path(VOCABULARY)
-    end = np.array([closing], "<u4").tobytes()
 
     def run(batches):
-        encode = _chunks(path).encode
+        chunks = _chunks(path)
+        width, end = chunks.dtype.itemsize, np.array([closing], chunks.dtype).tobytes()
         for batch in batches:
-            ids = [encode(t or "") + end for t in batch.column(1).to_pylist()]
-            n = pa.array([len(i) // 4 for i in ids], pa.int64())
+            ids = [i + end for i in chunks.encode([t or "" for t in batch.column(1).to_pylist()])]
+            n = pa.array([len(i) // width for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids, pa.binary())], names=[key, "n", "ids"])
 
     return docs.select(key, "text").mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, n long, ids binary")
@@ -214,6 +305,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, key: st
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
+    narrow = _dtype(Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY)))
+
     def run(batches):
         for batch in batches:
             n, ids, rest, rank, wholes_ = (batch.column(i).to_pylist() for i in range(1, 6))
@@ -223,8 +316,9 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, key: st
                 first = int(whole_first[rest[i]]) + wholes_[i]
                 pieces = [(k * window, window, first + k, 0) for k in range(count)]
                 pieces += [(count * window + s, size, seq, off) for s, size, seq, off in made.pieces(rest[i], rank[i])]
+                every = np.frombuffer(ids[i], narrow).astype("<u4").tobytes()
                 for start, size, seq, off in pieces:
-                    part = ids[i][4 * start : 4 * (start + size)]
+                    part = every[4 * start : 4 * (start + size)]
                     owner.append(i)
                     rows.append((start, size, zlib.crc32(part), n[i], seq, off))
                     cut.append(part)

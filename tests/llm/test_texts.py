@@ -345,3 +345,29 @@ def test_null_and_repeated_ids(spark):
     records = sharding.sized(docs)
     assert sharding.placed(records, sharding.first_map(sharding.slot_sizes(records)).select("vslot", "shard")).count() == 5
     assert repeats.without_repeats(docs).count() == 5
+
+
+def test_chunks_follow_the_tokenizer(spark):
+    """All texts of the data, random words and awkward chunks, through both ways of a chunk."""
+    path = public_tokenizers.path(packing.VOCABULARY)
+    tok, chunks = Tokenizer.from_file(path), packing._Chunks(path)
+    assert chunks.merged is not None
+    rng = np.random.default_rng(7)
+    letters = list("etaoinshrdlucmfwypvbgkjqxzéèñüöäßçœăžİŉſK")
+    words = ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(20_000)]
+    odd = ["it's <|endoftext|>x 12 ΣΑΣ\tb c é ́ İstanbul don't A, B. c; D!! <|ENDOFTEXT|> ﬁne ①② ½ é क़ 가각", "x1. 1. 2, .. a.. \r\n x\x1cy \x85z  q ªº µ", "", " "]
+    odd += [t or "" for t in awkward_texts()] + [" ".join(words[i : i + 50]) + ". " + words[i].title() + ", " + words[i].upper() for i in range(0, len(words), 50)]
+    odd += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text, ids in zip(odd, chunks.encode(odd), strict=True):
+        assert np.frombuffer(ids, chunks.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids, text[:80]
+
+
+def test_chunks_are_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    monkeypatch.setattr(packing, "PART", 200)
+    path = public_tokenizers.path(packing.VOCABULARY)
+    tok, chunks = Tokenizer.from_file(path), packing._Chunks(path)
+    texts = [prose(i, 60) for i in range(30)]
+    for text, ids in zip(texts, chunks.encode(texts), strict=True):
+        assert np.frombuffer(ids, chunks.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(chunks.known) <= 40 + 200
