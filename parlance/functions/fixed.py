@@ -101,17 +101,12 @@ DENOMINATORS = {
 # Default parameters (seconds unless named otherwise).
 SAMPLE_RATE = 16000
 ENERGY_THRESHOLD_DB = 50
-DILATATION_S = 0.5
-MIN_SPEECH_S = 0.1
-MIN_SILENCE_S = 0.1
 LONG_FILE_THRESHOLD_S, LONG_FILE_CHUNK_S, LONG_FILE_CONTEXT_S = 540, 360, 5
-ACCEPTANCE_PER_CHAR_S = 0.015
 MIN_CHUNK_S = 0.5
 SILENCE_TIMEOUT_FACTOR = 1.5
 MAX_WORDS_IN_BUFFER = 5
 PARTIALS_PER_SECOND = 4
 PAUSE_FOR_FINAL_S = 2.0
 BUFFER_TRIMMING_S = 8.0
-TOKEN_WINDOW = 256
 IDLE_TIMEOUT_S = 10
 PROMPT_CHARS = 200

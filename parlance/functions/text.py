@@ -113,6 +113,7 @@ def reorder_currency(text: str, lang: str) -> str:
     return f"if({lang} = 'fr', {rule(',')}, {rule('[.]')})"
 
 
+# Roman numerals from 10 to 49 and the ordinal endings behind them.
 _ROMAN = r"(?=[XVI])XX{0,3}(?:I[XV]|V?I{0,3})"
 _ROMAN_SUFFIX = {"en": "(?:º|st|nd|rd|th)?", "fr": "(?:º|ème|eme|e|er|ère)?"}
 
@@ -152,6 +153,7 @@ def _spellable(lang: str) -> str:
     return f"coalesce({lang} in ({', '.join(_sql(s) for s in SPELLED)}), false)"
 
 
+# What counts as an ordinal in digits; French tries ``nde`` before ``nd``.
 _ORDINALS = {
     "en": rf"{EDGE_BEFORE}[0-9]*1st|[0-9]*2nd|[0-9]*3rd|[0-9]+(?:º|th){EDGE_AFTER}",
     "fr": rf"{EDGE_BEFORE}1(?:ère|ere|er|re|r)|2(?:nde|nd)|[0-9]+(?:º|ème|eme|e){EDGE_AFTER}",
@@ -180,6 +182,7 @@ def replace_ordinals(text: str, lang: str) -> str:
     return with_names(f"if({text} rlike '[0-9]', {folded}, {text})")
 
 
+# Digit strings with blanks between thousands, or with slashes.
 _CARDINAL = rf"-?{BOUNDARY}[0-9/]*[0-9]+(?: [0-9]{{3}})+{EDGE_AFTER}|-?[0-9][/0-9]*"
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parlance.functions.columns import normalize_compare
-from parlance.functions.fixed import ASCII_PUNCTUATION, PROMPT_CHARS
+from parlance.functions.fixed import ASCII_PUNCTUATION, IDLE_TIMEOUT_S, MIN_CHUNK_S, PROMPT_CHARS, SILENCE_TIMEOUT_FACTOR
 from parlance.lineage import cut
 from parlance.operators.ordered import Layout, islands, lookup, prefix
 
@@ -99,7 +99,7 @@ def trim_point(segment_ends: Column, last_committed: Column) -> Column:
 # --- arrival logs -------------------------------------------------------------------------------
 
 
-def fill_silence(packets: DataFrame, length: float, factor: float = 1.5, slot: int = 600) -> DataFrame:
+def fill_silence(packets: DataFrame, length: float, factor: float = SILENCE_TIMEOUT_FACTOR, slot: int = 600) -> DataFrame:
     """Insert packets of silence where nothing arrived for ``length * factor`` seconds.
 
     ``packets`` is (session, event_id, at_s), seconds whole or with a fraction. A missing packet is
@@ -118,7 +118,7 @@ def fill_silence(packets: DataFrame, length: float, factor: float = 1.5, slot: i
     return packets.select("session", "event_id", F.col("at_s").cast(kind).alias("at_s")).unionByName(silent)
 
 
-def min_chunk_gate(packets: DataFrame, seconds: float, minimum: float, slot: int = 600) -> DataFrame:
+def min_chunk_gate(packets: DataFrame, seconds: float, minimum: float = MIN_CHUNK_S, slot: int = 600) -> DataFrame:
     """Buffered seconds per arrival, and the number of the processing run it triggers, if any."""
     layout = Layout(("session",), ("at_s", "event_id"), f"cast(floor(at_s / {slot}) as bigint)")
     counted = prefix(packets, layout, __n=("sum", "1L")).withColumn("buffered", (F.col("__n") + 1) * F.lit(seconds))
@@ -212,7 +212,7 @@ def words_to_sentences(words: DataFrame) -> DataFrame:
     )
 
 
-def idle_sessions(packets: DataFrame, gap: int, slot: int = 600) -> DataFrame:
+def idle_sessions(packets: DataFrame, gap: int = IDLE_TIMEOUT_S, slot: int = 600) -> DataFrame:
     """Stretches of activity; ``gap`` seconds without a message close one."""
     layout = Layout(("session",), ("at_s", "event_id"), f"cast(floor(at_s / {slot}) as bigint)")
     runs = islands(packets, layout, ["at_s"], f"cur.at_s - prev.at_s >= {gap}", n=("sum", "1L"))

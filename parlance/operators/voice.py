@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.fixed import ENERGY_THRESHOLD_DB, SAMPLE_RATE
 from parlance.lineage import cut
 from parlance.operators.ordered import Layout, islands, lookup, overlap_join, prefix
 
@@ -39,7 +40,7 @@ def split_by_channels(audio: DataFrame, most: int = 2, channels: str = "channels
     )
 
 
-def split_by_rate(audio: DataFrame, rate: int = 16000) -> tuple[DataFrame, DataFrame]:
+def split_by_rate(audio: DataFrame, rate: int = SAMPLE_RATE) -> tuple[DataFrame, DataFrame]:
     """Rows that can be decoded, and the quarantined rest with the reason."""
     good = audio.filter(F.col("rate") == rate)
     bad = audio.filter(~F.col("rate").eqNullSafe(rate)).withColumn(
@@ -67,7 +68,7 @@ def frame_energy(samples: DataFrame, frame_len: int = 800, value: str = "sample"
 
 def vad_segments(
     frames: DataFrame,
-    threshold: float = 50,
+    threshold: float = ENERGY_THRESHOLD_DB,
     max_silence: int = 2,
     min_len: int = 2,
     block: int = FRAMES_PER_BLOCK,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parlance.functions.columns import normalize_compare
-from parlance.functions.fixed import ASCII_PUNCTUATION
+from parlance.functions.fixed import ASCII_PUNCTUATION, MAX_WORDS_IN_BUFFER, PARTIALS_PER_SECOND
 from parlance.lineage import cut
 from parlance.operators import assemble as A
 from parlance.operators import live as L
@@ -240,7 +240,7 @@ def stream_agreement(spark, d):
 
 @register("stream_agreement_capped")
 def stream_agreement_capped(spark, d):
-    settings = agreement.Settings(pause=1.2, trimming=10.0, max_words=5, final_min_words=2, partials_per_second=4)
+    settings = agreement.Settings(pause=1.2, trimming=10.0, max_words=MAX_WORDS_IN_BUFFER, final_min_words=2, partials_per_second=PARTIALS_PER_SECOND)
     hyps = T.hypotheses(T.turns(spark, d)).withColumn("at", F.col("buffer_end"))
     return agreement.agree_batch(hyps, settings)
 
