@@ -29,15 +29,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     repeating the work. The write is atomic per task, so what was drawn from it stays the same.
     """
     path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._stored_at = path
+    return kept
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files behind tables that ``stored`` wrote, once all that reads them has been stored too."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame._stored_at)
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(key: str | Column) -> Column:
     """True where crc32 of the id as text leaves no rest by 5; such rows are never learned from."""
-    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False)) if isinstance(key, str) else F.coalesce(
-        F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False)
-    )
+    key = F.col(key) if isinstance(key, str) else key
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def uniform(*cols: str | Column) -> Column:

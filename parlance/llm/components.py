@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import stored
+from parlance.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(edges, "links")
     before = _signature(edges)
     while before[0]:
-        edges = stored(_small_star(_large_star(edges)), "links")
+        last, edges = edges, stored(_small_star(_large_star(edges)), "links")
+        discard(last)
         after = _signature(edges)
         if after == before:
             break

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import held_out, stored, table
+from parlance.llm.common import held_out, stored, table, uniform
 from parlance.llm.registry import register
 
 SAMPLE, TREES, DEPTH, BINS, RATE, LEAST = 20_000, 80, 4, 64, 0.15, 20
@@ -137,7 +137,11 @@ def fit(
 def learn(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Trees:
     """Trees from at most ``sample`` labelled rows that are not held out."""
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out(key)).select(key, F.col(label).cast("int").alias("label"))
-    drawn = stats.join(known, key).orderBy(F.xxhash64(key), "label", key).limit(sample).select("stats", "label")
+    # a fifth more than wanted by a threshold on the hash, so that few rows meet where the first are taken
+    place = uniform(key, F.lit("quality"))
+    share = min(1.0, 1.2 * sample / max(known.count(), 1))
+    near = stats.join(known.filter(place <= share), key)
+    drawn = near.orderBy(place, "label", key).limit(sample).select("stats", "label")
     rows = drawn.collect()
     return fit(np.array([r.stats for r in rows], np.float32), np.array([r.label for r in rows], np.float64))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import batch_of, in_order, partitions_of, shared_folder, stored, table
+from parlance.llm.common import batch_of, discard, in_order, partitions_of, shared_folder, stored, table
 from parlance.llm.registry import register
 from parlance.llm.suffixes import shared
 
@@ -122,6 +122,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     texts = spark.table(name)
     texts.schema  # noqa: B018  resolved here; the files stay when the name goes
     spark.sql(f"DROP TABLE {name}")
+    texts._stored_at = f"{shared_folder(spark)}/{name}"
     return texts
 
 
@@ -213,8 +214,11 @@ def sorted_groups(groups: DataFrame, span: int) -> DataFrame:
     return in_order(["gram"], parts, groups.select("gram", "alone", "key", "pos", "left", "right")).mapInArrow(run, "key binary, a long, b long")
 
 
-def counted_strings(groups: DataFrame, span: int) -> DataFrame:
-    """(key, a, b): the same for grams with very many contexts, by counts of all their strings."""
+def counted_strings(groups: DataFrame, span: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, a, b): the same for grams with very many contexts, by counts of all their strings.
+
+    Also gives the tables behind it.
+    """
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.binary()), ("pos", pa.int64()), ("at", pa.int64()), ("alone", pa.bool_())])
 
     def run(batches):
@@ -234,8 +238,10 @@ def counted_strings(groups: DataFrame, span: int) -> DataFrame:
     place = F.struct("key", "at")
     many = strings.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("h1", "h2")
     # read back from files, so that the join meets plain shuffles and a string of very many places can be split
-    hit = strings.filter("alone").join(stored(many, "repeated-strings"), ["h1", "h2"], "left_semi")
-    return hit.groupBy("key", "pos").agg(F.min("at").alias("a"), (F.max("at") + span).alias("b")).select("key", "a", "b")
+    many = stored(many, "repeated-strings")
+    hit = strings.filter("alone").join(many, ["h1", "h2"], "left_semi")
+    found = hit.groupBy("key", "pos").agg(F.min("at").alias("a"), (F.max("at") + span).alias("b")).select("key", "a", "b")
+    return found, [strings, many]
 
 
 def stretches(texts: DataFrame, span: int = SPAN, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
@@ -243,6 +249,7 @@ def stretches(texts: DataFrame, span: int = SPAN, gram: int = GRAM, wide: int =
     every = stored(places(texts, span, gram), "places")
     grams = every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     twice = stored(every.join(grams, "gram"), "twice")
+    discard(every)
     kinds = twice.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("of"))
     kinds = stored(kinds, "kinds")
     whole = twice.join(kinds.filter("n > 1").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select(
@@ -251,8 +258,11 @@ def stretches(texts: DataFrame, span: int = SPAN, gram: int = GRAM, wide: int =
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     picks = kinds.join(mixed, "gram").select("gram", (F.col("kinds") > wide).alias("wide"), (F.col("n") == 1).alias("alone"), "of.key", "of.pos")
     around = stored(contexts(texts, picks, span, gram), "contexts")
-    found = whole.unionAll(sorted_groups(around.filter("not wide"), span)).unionAll(counted_strings(around.filter("wide"), span))
-    return found.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    counted, behind = counted_strings(around.filter("wide"), span)
+    found = whole.unionAll(sorted_groups(around.filter("not wide"), span)).unionAll(counted)
+    spans = stored(found.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "stretches")
+    discard(twice, kinds, around, *behind)
+    return spans
 
 
 def merged(spans: list | None, size: int, copies: int, span: int = SPAN) -> list[tuple[int, int]]:
@@ -276,16 +286,16 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 def removed_runs(docs: DataFrame, span: int = SPAN, gram: int = GRAM, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
     """The distinct texts of ``docs`` (key, copies, text) and their stretches (key, spans)."""
     texts = distinct_texts(docs)
-    return texts, stored(stretches(texts, span, gram, wide), "stretches")
+    return texts, stretches(texts, span, gram, wide)
 
 
 def cut_texts(docs: DataFrame, span: int = SPAN, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept binary) of every distinct text of ``docs``."""
-    return _cut(docs, span, gram, wide, "kept binary", lambda kept: kept)
+    return _cut(removed_runs(docs, span, gram, wide), span, "kept binary", lambda kept: kept)
 
 
-def _cut(docs: DataFrame, span: int, gram: int, wide: int, column: str, of) -> DataFrame:
-    texts, spans = removed_runs(docs, span, gram, wide)
+def _cut(found: tuple[DataFrame, DataFrame], span: int, column: str, of) -> DataFrame:
+    texts, spans = found
     kind = pa.binary() if column.endswith("binary") else pa.string()
     names = ["key", "n_bytes", "n_removed", "n_spans", column.split()[0]]
 
@@ -312,8 +322,10 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, wide: i
 
     A null text stays null.
     """
-    kept = stored(_cut(docs, span, gram, wide, "_kept string", lambda raw: raw.decode("utf-8", "ignore")), "kept")
-    changed = kept.filter("n_removed > 0").select(F.col("key").alias("_key"), "_kept")
+    found = removed_runs(docs, span, gram, wide)
+    kept = _cut(found, span, "_kept string", lambda raw: raw.decode("utf-8", "ignore"))
+    changed = stored(kept.filter("n_removed > 0").select(F.col("key").alias("_key"), "_kept"), "changed")
+    discard(*found)
     joined = docs.withColumn("_key", key_of()).join(changed, "_key", "left")
     return joined.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
 
@@ -321,5 +333,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, wide: i
 @register("op1_suffix_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    digests = _cut(docs, SPAN, GRAM, WIDE, "kept_sha256 string", lambda raw: hashlib.sha256(raw).hexdigest())
-    return docs.select("doc_id", key_of().alias("key")).join(stored(digests, "digests"), "key").drop("key")
+    found = removed_runs(docs)
+    digests = stored(_cut(found, SPAN, "kept_sha256 string", lambda raw: hashlib.sha256(raw).hexdigest()), "digests")
+    discard(*found)
+    return docs.select("doc_id", key_of().alias("key")).join(digests, "key").drop("key")

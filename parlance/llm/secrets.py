@@ -67,14 +67,10 @@ def scan(blobs: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
             ).alias("matches"),
         )
 
-    frames = []
-    for order, (kind, pattern, least) in enumerate(RULES):
-        hits = blobs.filter(F.col("text").rlike(pattern)).select("blob", of(kind, pattern, least, order).alias("r"))
-        frames.append(hits)
-    every = frames[0]
-    for frame in frames[1:]:
-        every = every.unionAll(frame)
-    single = every.select("blob", "r.kind", "r.ord", F.posexplode_outer("r.matches").alias("i", "m"))
+    rules = F.array(*(F.when(F.col("text").rlike(p), of(k, p, n, i)) for i, (k, p, n) in enumerate(RULES)))
+    # the outer form: the plain one would work out the array a second time for a filter on its size
+    hits = blobs.select("blob", F.explode_outer(rules).alias("r")).filter("r is not null")
+    single = hits.select("blob", "r.kind", "r.ord", F.posexplode_outer("r.matches").alias("i", "m"))
     upto = Window.partitionBy("blob", "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     ends = single.withColumn("end", F.sum(F.col("m.gap") + F.col("m.len")).over(upto))
     return ends.filter("m.counts").select(
@@ -90,7 +86,7 @@ def advance(
 
     ``versions`` has a text column; it may hold all history or only what is new.
     """
-    new = stored(unscanned(versions, ledger, rule_version), "blobs")
+    new = unscanned(versions, ledger, rule_version)
     found = stored(scan(new, rule_version), "findings")
     entries = new.select("blob", F.lit(rule_version).alias("rule_version"))
     return (
