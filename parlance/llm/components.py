@@ -26,8 +26,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(edges, "links")
     before = _signature(edges)
     while before[0]:
-        last, edges = edges, stored(_small_star(_large_star(edges)), "links")
-        discard(last)
+        for step in (_large_star, _small_star):
+            least = stored(_least(edges, both=step is _large_star), "least")
+            last, edges = edges, stored(step(edges, least), "links")
+            discard(last, least)
         after = _signature(edges)
         if after == before:
             break
@@ -36,16 +38,24 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
-    moved = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+def _least(edges: DataFrame, both: bool) -> DataFrame:
+    """(u, m): the smallest node next to u, or u itself; stored, so that the links of a hub can be split."""
+    near = _both(edges) if both else edges
+    return near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+
+
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    return _both(edges).filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    moved = edges.join(least, "u").select(
+        F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
+    )
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -113,7 +113,7 @@ def tile_links(vectors: DataFrame, threshold: float, tile: int, size: int, axes:
     around = sizes
     for frame in (up(1), up(2), down(1), down(2)):
         around = around.join(frame, ["label", "slice"], "left")
-    placed = cut.join(around, ["label", "slice"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    placed = cut.join(stored(around, "tile-counts"), ["label", "slice"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # every pair of tiles once: those of a slice among themselves, and those of a slice with the two above
     none = "cast(array() as array<int>)"
     tiles_of = lambda column: f"if({column} is null, {none}, sequence(0, {column} - 1))"

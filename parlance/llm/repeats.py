@@ -247,21 +247,22 @@ def counted_strings(groups: DataFrame, span: int) -> tuple[DataFrame, list[DataF
 def stretches(texts: DataFrame, span: int = SPAN, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
     """(key, spans array<struct<a,b>>): stretches of each text that repeats cover; they may overlap."""
     every = stored(places(texts, span, gram), "places")
-    grams = every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # counts are stored before they are joined back: between plain shuffles a very frequent gram can be split
+    grams = stored(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
     twice = stored(every.join(grams, "gram"), "twice")
-    discard(every)
+    discard(every, grams)
     kinds = twice.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("of"))
     kinds = stored(kinds, "kinds")
     whole = twice.join(kinds.filter("n > 1").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select(
         "key", F.greatest(F.col("pos") - (span - gram), F.lit(0)).alias("a"), (F.col("pos") + span).alias("b")
     )
-    mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = stored(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "mixed")
     picks = kinds.join(mixed, "gram").select("gram", (F.col("kinds") > wide).alias("wide"), (F.col("n") == 1).alias("alone"), "of.key", "of.pos")
     around = stored(contexts(texts, picks, span, gram), "contexts")
     counted, behind = counted_strings(around.filter("wide"), span)
     found = whole.unionAll(sorted_groups(around.filter("not wide"), span)).unionAll(counted)
     spans = stored(found.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "stretches")
-    discard(twice, kinds, around, *behind)
+    discard(twice, kinds, mixed, around, *behind)
     return spans
 
 

@@ -143,7 +143,8 @@ def _finer_keys() -> DataFrame:
 def near_links(codes: DataFrame, bits: int = BITS) -> DataFrame:
     """Spanning links (a, b) between the distinct fingerprints of ``codes`` (fp)."""
     keyed = stored(codes.select("fp", F.explode(_keys(bits)).alias("key")), "keys")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # stored before it is joined back: between plain shuffles a crowded key can be split
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
     crowded = keyed.join(shared, "key")
     few = crowded.filter(F.col("n") <= WIDE).select(F.col("key").alias("k1"), F.lit(0).cast("long").alias("k2"), "fp")
     many = crowded.filter(F.col("n") > WIDE).select(F.col("key").alias("k1"), F.explode(_finer_keys()).alias("k2"), "fp")
