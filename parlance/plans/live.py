@@ -255,6 +255,19 @@ def stream_agreement_live(spark, d):
     return run.collected(_live_emissions(spark, d))
 
 
+def _finished(hyps):
+    finals = agreement.agree_batch(hyps).filter("kind = 'final'")
+    texts = finals.groupBy("session").agg(
+        F.replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("iter", "text"))), lambda x: x["text"]), ""), F.lit("#")).alias("text")
+    )
+    return texts.select("session", F.replace("text", F.lit(" "), F.lit("")).alias("text"))
+
+
+@register("finish_every_session")
+def finish_every_session(spark, d):
+    return _finished(T.hypotheses(T.turns(spark, d)))
+
+
 # All finals of a session, the flush at its end included, give the turn's text back.
 @register("finish_session", C.ctes(C.HYPS, """
 g AS (SELECT DISTINCT session, array_to_string(list_transform(ws, lambda w: w.word), ' ') AS text FROM hyps),
@@ -264,17 +277,14 @@ rep AS (SELECT DISTINCT session FROM (SELECT session, list_transform(ws, lambda
 SELECT session, replace(text, ' ', '') AS text FROM g WHERE session NOT IN (SELECT session FROM rep)""")
 def finish_session(spark, d):
     hyps = cut(T.hypotheses(T.turns(spark, d)))
-    finals = agreement.agree_batch(hyps).filter("kind = 'final'")
-    texts = finals.groupBy("session").agg(
-        F.replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("iter", "text"))), lambda x: x["text"]), ""), F.lit("#")).alias("text")
-    )
-    # A word group said twice in a row is taken for an echo, so such turns are left out here.
+    # The SQL twin leaves out turns in which a word group is said twice in a row, as the agreement
+    # takes it for an echo; finish_every_session has all turns.
     echo = " or ".join(
         f"exists(sequence(1, greatest(size(t) - {2 * n} + 1, 1)), i -> i + {2 * n - 1} <= size(t) and slice(t, i, {n}) = slice(t, i + {n}, {n}))"
         for n in range(1, 6)
     )
     echoes = hyps.filter("eof").withColumn("t", F.expr("transform(ws, w -> w.word)")).filter(echo).select("session")
-    return texts.join(echoes, "session", "left_anti").select("session", F.replace("text", F.lit(" "), F.lit("")).alias("text"))
+    return _finished(hyps).join(echoes, "session", "left_anti")
 
 
 @register("partial_revision_rate", _PAIRS + """,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import live as L
 from parlance.plans.catalog import QUERIES
+from parlance.sources import tables as T
 from parlance.streaming import agreement as G
 from parlance.streaming import run
 
@@ -170,3 +171,21 @@ def test_arrival_logs_small_blocks(spark):
     silent = L.fill_silence(frame, 4, 1.5, slot=7).filter("event_id is null").count()
     ats = {s: [r[2] for r in rows if r[0] == s] for s in range(3)}
     assert silent == sum(len(range(a + 6, b, 6)) for xs in ats.values() for a, b in zip(xs, xs[1:]) if b - a > 6)
+
+
+def test_every_session_is_finished(spark):
+    """All turns with words, those that say a word group twice included, against the rule written out."""
+    hyps = T.hypotheses(T.turns(spark, SF)).select("session", "iter", "words", "buffer_end", "eof", "segment_ends").collect()
+    sessions = {}
+    for r in sorted(hyps, key=lambda r: (r.session, r.iter)):
+        sessions.setdefault(r.session, []).append(r)
+    want = {}
+    for name, rows in sessions.items():
+        state, said = G.Session(), []
+        for r in rows:
+            one = {**r.asDict(), "words": [(w.start, w.end, w.word) for w in r.words]}
+            said += [e[3] for e in G.step(state, one, G.Settings()) if e[0] == "final"]
+        want[name] = "".join(said).replace("#", "").replace(" ", "")
+    got = {r.session: r.text for r in QUERIES["finish_every_session"](spark, SF).collect()}
+    kept = {r.session for r in QUERIES["finish_session"](spark, SF).collect()}
+    assert got == want and kept < set(got)
