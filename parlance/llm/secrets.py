@@ -32,6 +32,14 @@ RULES = (
     ("jwt", r"(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 16),
 )
 BASE_KINDS = ("assign", "access", "hex")
+#: A whole private key: to its END line, unless 64 hyphens or another BEGIN come first; else the base64 lines that follow.
+WHOLE_PEM = (
+    r"(-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----BEGIN )[^-]*+){0,64}?-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\s*+[A-Za-z0-9+/]{16,}+={0,2})*(?:\s++[A-Za-z0-9+/]{1,15}={0,2}(?=\s*(?:\n|$)))?))"
+)
+#: For masking: the same kinds, with the key behind its header.
+MASK_RULES = tuple((k, WHOLE_PEM if k == "pem" else p, n) for k, p, n in RULES)
 
 
 def blob_of(text: str | Column = "text") -> Column:
@@ -53,7 +61,7 @@ def unscanned(versions: DataFrame, ledger: DataFrame | None, rule_version: int =
     return blobs.groupBy("blob").agg(F.any_value("text").alias("text"))
 
 
-def scan(blobs: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
+def scan(blobs: DataFrame, rule_version: int = RULE_VERSION, rules: tuple = RULES) -> DataFrame:
     """Findings of each blob: (blob, rule_version, kind, ord, start, end)."""
 
     def of(kind: str, pattern: str, least: int, order: int) -> Column:
@@ -67,9 +75,9 @@ def scan(blobs: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
             ).alias("matches"),
         )
 
-    rules = F.array(*(F.when(F.col("text").rlike(p), of(k, p, n, i)) for i, (k, p, n) in enumerate(RULES)))
+    matched = F.array(*(F.when(F.col("text").rlike(p), of(k, p, n, i)) for i, (k, p, n) in enumerate(rules)))
     # the outer form: the plain one would work out the array a second time for a filter on its size
-    hits = blobs.select("blob", F.explode_outer(rules).alias("r")).filter("r is not null")
+    hits = blobs.select("blob", F.explode_outer(matched).alias("r")).filter("r is not null")
     single = hits.select("blob", "r.kind", "r.ord", F.posexplode_outer("r.matches").alias("i", "m"))
     upto = Window.partitionBy("blob", "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     ends = single.withColumn("end", F.sum(F.col("m.gap") + F.col("m.len")).over(upto))
@@ -80,14 +88,15 @@ def scan(blobs: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
 
 
 def advance(
-    versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rule_version: int = RULE_VERSION
+    versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rule_version: int = RULE_VERSION,
+    rules: tuple = RULES,
 ) -> tuple[DataFrame, DataFrame]:
     """One increment: the ledger and the findings with all that ``versions`` adds to them.
 
     ``versions`` has a text column; it may hold all history or only what is new.
     """
     new = unscanned(versions, ledger, rule_version)
-    found = stored(scan(new, rule_version), "findings")
+    found = stored(scan(new, rule_version, rules), "findings")
     entries = new.select("blob", F.lit(rule_version).alias("rule_version"))
     return (
         entries if ledger is None else ledger.unionByName(entries),

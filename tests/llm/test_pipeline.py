@@ -51,3 +51,12 @@ def test_run(spark):
 def test_stages_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, documents(spark, []), SF).count() == 0
+
+
+def test_private_keys_are_masked_whole(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA" + "Ab9+/x" * 8 for _ in range(20))
+    whole = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\nZz9=\n-----END RSA PRIVATE KEY-----"
+    bare = f"-----BEGIN PRIVATE KEY-----\n{body}\nZz9="
+    texts = [f"start {whole} middle - text {whole} end", f"start {bare}\nplain words", f"a {bare}\nthen words {whole} end"]
+    got = {r.doc_id: r.text for r in corpus_pipeline.secrets_masked(spark, documents(spark, texts), SF).collect()}
+    assert got == {0: "start [SECRET] middle - text [SECRET] end", 1: "start [SECRET]\nplain words", 2: "a [SECRET]\nthen words [SECRET] end"}
