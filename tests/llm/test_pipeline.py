@@ -60,3 +60,9 @@ def test_private_keys_are_masked_whole(spark):
     texts = [f"start {whole} middle - text {whole} end", f"start {bare}\nplain words", f"a {bare}\nthen words {whole} end"]
     got = {r.doc_id: r.text for r in corpus_pipeline.secrets_masked(spark, documents(spark, texts), SF).collect()}
     assert got == {0: "start [SECRET] middle - text [SECRET] end", 1: "start [SECRET]\nplain words", 2: "a [SECRET]\nthen words [SECRET] end"}
+
+
+def test_language_without_a_profile(spark):
+    """Where no row teaches a language, only texts without letters go."""
+    docs = documents(spark, [prose(1, 50), None, "", "12 !!", "Ελληνικά"])
+    assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).collect()) == [0, 4]
