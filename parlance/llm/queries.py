@@ -4,7 +4,7 @@ import importlib
 
 from parlance.llm.registry import QUERIES, SQL
 
-for _module in ("bpe", "cosine", "language", "neighbours", "packing", "quality", "repeats", "secrets", "sharding", "simhash"):
+for _module in ("bestfit", "bpe", "cosine", "language", "merkle", "neighbours", "packing", "phrases", "quality", "repeats", "secrets", "sharding", "simhash"):
     importlib.import_module(f"parlance.llm.{_module}")
 
 __all__ = ["QUERIES", "SQL"]
