@@ -37,7 +37,7 @@ from parlance.llm.common import discard, shared_folder, stored, table
 from parlance.llm.registry import register
 
 LEAST, LONGEST, TOP = 30, 4, 2000
-SHARDS, SLOTS = 4, 1 << 25
+SHARDS, SLOTS = 2, 1 << 25
 #: Bytes of text that make a block, and the step that stands for "not reached".
 BLOCK, NEVER = 8_000_000, 255
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
