@@ -39,7 +39,7 @@ from parlance.llm.registry import register
 LEAST, LONGEST, TOP = 30, 4, 2000
 SHARDS, SLOTS = 2, 1 << 25
 #: Bytes of text that make a block, and the step that stands for "not reached".
-BLOCK, NEVER = 8_000_000, 255
+BLOCK, NEVER = 4_000_000, 255
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(10 if b in _BREAKS else 32 if b == 9 else b for b in range(256))
 _BREAK = regex.compile(rb"[.,;:!?\n\x0b\x0c\r]")
@@ -173,9 +173,9 @@ def _step_counts(shard: DataFrame, since, step: int, shards: int, longest: int)
     def run(batches):
         names = [c.split()[0] for c in _COUNTED.split(", ")]
         for batch in batches:
-            for lang, words, codes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                texts = pa.array(words, pa.binary())
-                for length, columns, version, slot, n in counted(lang, words, np.frombuffer(codes, np.uint32), since.value, step, shards, longest):
+            for i in range(batch.num_rows):  # one block at a time
+                lang, texts, codes = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(2)[i].as_buffer()
+                for length, columns, version, slot, n in counted(lang, texts.to_pylist(), np.frombuffer(codes, np.uint32), since.value, step, shards, longest):
                     if not len(n):
                         continue
                     joined = texts.take(pa.array(columns[0]))
