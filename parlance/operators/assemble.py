@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,47 +151,86 @@ def confidence_mean(words: DataFrame) -> DataFrame:
 # --- order and time of segments -----------------------------------------------------------------
 
 
+def _block_function(starts: list[int], ends: list[int], step: int) -> tuple[list[int], list[int]]:
+    """What a block of rows makes of the end before it: (bounds, results).
+
+    An end below ``bounds[i]``, and not below the bounds before, leaves the block as ``results[i]``; an
+    end that no bound is above goes up by ``step`` with every row.
+    """
+    n = len(starts)
+    # with every row the carried end goes up by step until it is below a row's bound, and then restarts
+    bound = [(b if b > a else a + 1) - i * step for i, (a, b) in enumerate(zip(starts, ends, strict=True))]
+    restart = [(b if b > a else a + step) - (i + 1) * step for i, (a, b) in enumerate(zip(starts, ends, strict=True))]
+    leaves = [0] * n
+    later: list[int] = []  # rows that a restart further up may meet first: their bounds fall
+    for i in range(n - 1, -1, -1):
+        low, high = 0, len(later)
+        while low < high:
+            middle = (low + high) // 2
+            if bound[later[middle]] > restart[i]:
+                low = middle + 1
+            else:
+                high = middle
+        leaves[i] = leaves[later[low - 1]] if low else restart[i] + n * step
+        while later and bound[later[-1]] <= bound[i]:
+            later.pop()
+        later.append(i)
+    rows = later[::-1]  # each bound is above all before it
+    return [bound[i] for i in rows], [leaves[i] for i in rows]
+
+
 def monotonic_segments(segments: DataFrame, step: int = 1000, block: int = 4096, fan: int = 1024) -> DataFrame:
     """start := max(start, end before); an end not after it becomes start + ``step``.
 
-    A segment whose own end lies past everything the earlier ones can reach keeps that end
-    whatever happened before. These *anchors* cut the session into short independent stretches,
-    and only inside a stretch is the rule followed row by row.
+    A row makes a rising step function of the end before it, and such functions can be put together.
+    Each block of rows is put together by itself; one pass over the functions, one row a block, gives
+    the end that enters each block; then each block follows the rule from there. A session of any
+    length uses all cores, whatever its times are. ``fan`` is not needed any more and has no effect.
     """
-    layout = Layout(("session",), ("seg_idx",), f"seg_idx div {block}", fan)
-    reach = f"if(end_ms > start_ms, end_ms, start_ms + {step}) - {step} * seg_idx"
-    bounded = cut(
-        prefix(segments.select("session", "seg_idx", "start_ms", "end_ms"), layout, __reach=("max", reach)).withColumn(
-            "__anchor",
-            F.expr(f"end_ms > start_ms and (__reach is null or end_ms > __reach + {step} * (seg_idx - 1))"),
-        )
+    kinds = dict(segments.dtypes)
+    rows = segments.select("session", "seg_idx", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms")).withColumn(
+        "__block", F.expr(f"cast(seg_idx div {block} as bigint)")
     )
-    # An anchor's start still depends on the end before it, so each anchor closes a stretch.
-    numbered = prefix(bounded, layout, __stretch=("sum", "int(__anchor)"), __prev_end=("lag", "end_ms")).select(
-        "session", "__stretch", "seg_idx", "start_ms", "end_ms", "__prev_end"
-    )
-    kind = dict(segments.dtypes)["session"]
+    rows = cut(rows)
+
+    def compose(group: pa.Table) -> pa.Table:
+        group = group.sort_by("seg_idx")
+        bounds, results = _block_function(group["start_ms"].to_pylist(), group["end_ms"].to_pylist(), step)
+        listed = [pa.array([v], pa.list_(pa.int64())) for v in (bounds, results)]
+        return pa.table([group["session"].slice(0, 1), group["__block"].slice(0, 1), pa.array([group.num_rows], pa.int64()), *listed], names=["session", "__block", "n", "bounds", "results"])
+
+    functions = cut(rows.groupBy("session", "__block").applyInArrow(compose, f"session {kinds['session']}, __block long, n long, bounds array<long>, results array<long>"))
 
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come stretch by stretch, in order; one end is all that is carried on."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Functions come session by session, in order; one end is all that is carried on."""
         at, end = None, None
         for batch in batches:
-            starts, ends = [], []
-            for session, stretch, _, a, b, before in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                if (session, stretch) != at:
-                    at, end = (session, stretch), before
-                a = a if end is None else max(a, end)
-                end = b if b > a else a + step
-                starts.append(a)
-                ends.append(end)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
-                names=["session", "seg_idx", "start_ms", "end_ms"],
-            )
-
-    rows = numbered.withColumns({c: F.col(c).cast("long") for c in ("start_ms", "end_ms", "__prev_end")})
-    spread = rows.repartition("session", "__stretch").sortWithinPartitions("session", "__stretch", "seg_idx")
-    return spread.mapInArrow(follow, f"session {kind}, seg_idx {dict(segments.dtypes)['seg_idx']}, start_ms long, end_ms long")
+            entering = []
+            for i in range(batch.num_rows):
+                session = batch.column(0)[i].as_py()
+                if session != at:
+                    at, end = session, None
+                entering.append(end)
+                bounds, results = batch.column(3)[i].values.to_numpy(), batch.column(4)[i].values
+                first = 0 if end is None else int(np.searchsorted(bounds, end, "right"))
+                end = results[first].as_py() if first < len(bounds) else end + step * batch.column(2)[i].as_py()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entering, pa.int64())], names=["session", "__block", "before"])
+
+    entering = functions.repartition("session").sortWithinPartitions("session", "__block").mapInArrow(scan, f"session {kinds['session']}, __block long, before long")
+
+    def follow(group: pa.Table) -> pa.Table:
+        group = group.sort_by("seg_idx")
+        end = group["before"][0].as_py()
+        starts, ends = [], []
+        for a, b in zip(group["start_ms"].to_pylist(), group["end_ms"].to_pylist(), strict=True):
+            a = a if end is None else max(a, end)
+            end = b if b > a else a + step
+            starts.append(a)
+            ends.append(end)
+        return pa.table([group["session"], group["seg_idx"], pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["session", "seg_idx", "start_ms", "end_ms"])
+
+    met = rows.join(entering, ["session", "__block"])
+    return met.groupBy("session", "__block").applyInArrow(follow, f"session {kinds['session']}, seg_idx {kinds['seg_idx']}, start_ms long, end_ms long")
 
 
 def glue_word_times(words: DataFrame) -> DataFrame:
