@@ -137,7 +137,8 @@ def digits_of(n: str) -> str:
     return f"replace(cast({n} as string), '-', '')"
 
 
-def _pick(lang: str, v: str) -> str:
+def pick(lang: str, v: str) -> str:
+    """The name of ``v`` from 0 to 999, inside :func:`with_names`."""
     return f"element_at(names_{lang}, cast({v} as int) + 1)"
 
 
@@ -156,36 +157,36 @@ def _groups(d: str, size: int) -> str:
 
 def cardinal(d: str, lang: str, negative: str = "false") -> str:
     """Words of the digit string expression ``d``, which has no leading zeros."""
-    words = let(d, lambda d: f"case when {d} = '0' then {_pick(lang, '0')} when length({d}) > {DIGITS} then {_one_by_one(d, lang)} else {_positive(d, lang)} end")
+    words = let(d, lambda d: f"case when {d} = '0' then {pick(lang, '0')} when length({d}) > {DIGITS} then {_one_by_one(d, lang)} else {_positive(d, lang)} end")
     return words if negative == "false" else f"concat(if({negative}, '{MINUS[lang]}', ''), {words})"
 
 
 def _one_by_one(d: str, lang: str) -> str:
-    return f"array_join(transform(filter(split({d}, ''), c -> c <> ''), c -> {_pick(lang, 'c')}), ' ')"
+    return f"array_join(transform(filter(split({d}, ''), c -> c <> ''), c -> {pick(lang, 'c')}), ' ')"
 
 
 def _positive(d: str, lang: str) -> str:
     if lang == "en":
-        name = f"concat({_pick('en', 'g.v')}, ' ', element_at({_words(EN_SCALES)}, g.s))"
+        name = f"concat({pick('en', 'g.v')}, ' ', element_at({_words(EN_SCALES)}, g.s))"
         return let(_groups(d, 3), lambda g: let(
             f"coalesce(try_element_at(filter({g}, x -> x.s = 0), 1).v, 0)",
             lambda rest: f"concat_ws(if({rest} < 100, ' and ', ', '), nullif(array_join(transform(filter({g}, x -> x.s > 0), g -> {name}), ', '), ''), "
-                         f"if({rest} > 0, {_pick('en', rest)}, null))",
+                         f"if({rest} > 0, {pick('en', rest)}, null))",
         ))
     if lang == "fr":
-        many = f"regexp_replace({_pick('fr', 'g.v')}, '(cent|vingt)s$', '$1')"
-        name = (f"case when g.s = 0 then {_pick('fr', 'g.v')} when g.s = 1 then if(g.v = 1, 'mille', concat({many}, ' mille')) "
-                f"else concat({_pick('fr', 'g.v')}, ' ', element_at({_words(FR_SCALES)}, g.s), if(g.v > 1, 's', '')) end")
+        many = f"regexp_replace({pick('fr', 'g.v')}, '(cent|vingt)s$', '$1')"
+        name = (f"case when g.s = 0 then {pick('fr', 'g.v')} when g.s = 1 then if(g.v = 1, 'mille', concat({many}, ' mille')) "
+                f"else concat({pick('fr', 'g.v')}, ' ', element_at({_words(FR_SCALES)}, g.s), if(g.v > 1, 's', '')) end")
         return f"array_join(transform({_groups(d, 3)}, g -> {name}), ' ')"
     if lang == "de":
         # thousands and what follows are one word
         plural = [s + ("n" if s.endswith("e") else "en") for s in DE_SCALES]
-        name = (f"case when g.s = 0 then {_pick('de', 'g.v')} when g.s = 1 then concat(regexp_replace({_pick('de', 'g.v')}, 'eins$', 'ein'), 'tausend') "
-                f"when g.v = 1 then concat('eine ', element_at({_words(DE_SCALES)}, g.s), ' ') else concat({_pick('de', 'g.v')}, ' ', element_at({_words(plural)}, g.s), ' ') end")
+        name = (f"case when g.s = 0 then {pick('de', 'g.v')} when g.s = 1 then concat(regexp_replace({pick('de', 'g.v')}, 'eins$', 'ein'), 'tausend') "
+                f"when g.v = 1 then concat('eine ', element_at({_words(DE_SCALES)}, g.s), ' ') else concat({pick('de', 'g.v')}, ' ', element_at({_words(plural)}, g.s), ' ') end")
         return f"rtrim(array_join(transform({_groups(d, 3)}, g -> {name}), ''))"
     short = lambda w: f"regexp_replace(regexp_replace({w}, 'veintiuno$', 'veintiún'), 'uno$', 'un')"
-    below = (f"concat_ws(' ', case when g.v < 1000 then null when g.v < 2000 then 'mil' else concat({short(_pick('es', 'g.v div 1000'))}, ' mil') end, "
-             f"if(g.v % 1000 > 0, {_pick('es', 'g.v % 1000')}, null))")
+    below = (f"concat_ws(' ', case when g.v < 1000 then null when g.v < 2000 then 'mil' else concat({short(pick('es', 'g.v div 1000'))}, ' mil') end, "
+             f"if(g.v % 1000 > 0, {pick('es', 'g.v % 1000')}, null))")
     plural = [s.replace("ón", "ones") for s in ES_SCALES]
     name = (f"case when g.s = 0 then {below} when g.v = 1 then concat('un ', element_at({_words(ES_SCALES)}, g.s)) "
             f"else concat({short(below)}, ' ', element_at({_words(plural)}, g.s)) end")
@@ -218,5 +219,5 @@ def ordinal(d: str, lang: str) -> str:
         )
     head = f"substring({d}, 1, length({d}) - 3)"
     thousands = f"if({head} = '1', 'milésimo', concat({cardinal(head, 'es')}, ' milésimo'))"
-    rest = f"nullif({_pick('es_ordinal', f'right({d}, 3)')}, '')"
+    rest = f"nullif({pick('es_ordinal', f'right({d}, 3)')}, '')"
     return f"if({d} = '0', 'cero', concat_ws(' ', if(length({d}) > 3, {thousands}, null), {rest}))"

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions.columns import collapse_whitespace
 from parlance.functions.fixed import CURRENCIES, DENOMINATORS, MONTHS, SYMBOLS
-from parlance.functions.numbers import SPELLED, cardinal, let, ordinal, with_names
+from parlance.functions.numbers import SPELLED, cardinal, let, ordinal, pick, with_names
+from parlance.lineage import cut
 
 W = r"[\p{L}\p{N}_]"
 NOT_W = r"[^\p{L}\p{N}_]"
@@ -242,8 +243,10 @@ def _undigit(bare: str, number: str, lang: str, to: str) -> str:
     else:
         words = spell(number, lang, "true")
     spelled = f"coalesce({words}, {hidden})"
-    if to != "denominator":
-        return spelled
+    return spelled if to != "denominator" else _named_denominator(bare, spelled, lang)
+
+
+def _named_denominator(bare: str, spelled: str, lang: str) -> str:
     named = " ".join(
         f"when {lang} = {_sql(code)} and {bare} = {_sql(d)} then {_sql(w)}"
         for code, names in DENOMINATORS.items()
@@ -260,38 +263,55 @@ def _month(number: str, lang: str, otherwise: str) -> str:
     return f"coalesce(case {lang} {names} end, translate({otherwise}, {_HIDE}))"
 
 
-def _day(first: str, lang: str) -> str:
-    day = f"regexp_replace({first}, '^0+', '')"
-    as_ordinal = f"if({lang} = 'fr', {day} = '1', right({day}, 1) in ('1', '2', '3'))"
-    return f"if({as_ordinal}, {undigit(day, lang, 'ordinal')}, {undigit(day, lang)})"
-
-
 def number_words(token: str, lang: str) -> str:
-    """Words for one numeric token: integer, fraction, date or a chain joined by slashes."""
-    return let(f"split({token}, '/+')", lambda p: _words_of_parts(p, lang))
+    """Words for one numeric token: integer, fraction, date or a chain joined by slashes.
+
+    Most tokens are short integers, which are looked up; only those with a slash are split.
+    """
+    short = " ".join(f"when {_sql(code)} then {pick(code, token)}" for code in SPELLED)
+    parted = let(f"split({token}, '/+')", lambda p: _words_of_parts(p, lang))
+    return (
+        f"case when contains({token}, '/') then {parted} "
+        f"when {token} rlike '^(?:0|[1-9][0-9]{{0,2}})$' and {_spellable(lang)} then case {lang} {short} end "
+        f"else {undigit(token, lang)} end"
+    )
 
 
 def _words_of_parts(p: str, lang: str) -> str:
-    def at(i: int) -> str:
-        return f"try_element_at({p}, {i})"
+    """Words of the parts ``p`` between slashes, of which there are two or more.
+
+    Each rule for digit strings stands once in the expression: cardinals of all parts and of the day
+    without leading zeros, ordinals of the second part and of that day.
+    """
+    day = f"regexp_replace({p}[0], '^0+', '')"
+    return let(day, lambda day: let(
+        f"transform(concat({p}, array({day})), q -> {undigit('q', lang)})",
+        lambda c: let(
+            f"transform(array({p}[1], {day}), q -> {undigit('q', lang, 'ordinal')})",
+            lambda o: _composed(p, day, c, o, lang),
+        ),
+    ))
+
 
+def _composed(p: str, day: str, cardinals: str, ordinals: str, lang: str) -> str:
     def whole(i: int) -> str:
-        return f"try_cast({at(i)} as int)"
+        return f"if({p}[{i}] rlike '^[0-9]{{1,9}}$', cast({p}[{i}] as int), null)"
 
-    day_month = f"coalesce({whole(1)} between 1 and 31 and {whole(2)} between 1 and 12 and length({at(2)}) = 2, false)"
-    month = _month(f"greatest(least({whole(2)}, 12), 1)", lang, at(2))
-    more_than_two = f"coalesce(try_cast(replace({at(1)}, ' ', '') as bigint) > 2, false)"
+    day_month = f"coalesce({whole(0)} between 1 and 31 and {whole(1)} between 1 and 12 and length({p}[1]) = 2, false)"
+    month = _month(f"greatest(least({whole(1)}, 12), 1)", lang, f"{p}[1]")
+    as_ordinal = f"if({lang} = 'fr', {day} = '1', right({day}, 1) in ('1', '2', '3'))"
+    date = f"concat(if({as_ordinal}, {ordinals}[1], element_at({cardinals}, -1)), ' ', {month})"
+    more_than_two = f"coalesce(try_cast(replace({p}[0], ' ', '') as bigint) > 2, false)"
     below = let(
-        undigit(at(2), lang, "denominator"),
+        _named_denominator(f"replace({p}[1], ' ', '')", f"{ordinals}[0]", lang),
         lambda b: f"if({more_than_two} and right({b}, 1) <> 's', concat({b}, 's'), {b})",
     )
-    full_date = f"({day_month} and coalesce({whole(3)} > 1000, false) and length({at(3)}) = 4)"
-    chain = f"array_join(transform({p}, q -> {undigit('q', lang)}), ' / ')"
+    full_date = f"({day_month} and length({p}[2]) = 4 and coalesce({whole(2)} > 1000, false))"
+    chain = f"array_join(slice({cardinals}, 1, size({p})), ' / ')"
     return (
         f"case size({p}) "
-        f"when 1 then {undigit(at(1), lang)} "
-        f"when 2 then if({day_month}, concat({_day(at(1), lang)}, ' ', {month}), concat({undigit(at(1), lang)}, ' ', {below})) "
-        f"when 3 then if({full_date}, concat({_day(at(1), lang)}, ' ', {month}, ' ', {undigit(at(3), lang)}), {chain}) "
+        f"when 2 then if({day_month}, {date}, concat({cardinals}[0], ' ', {below})) "
+        f"when 3 then if({full_date}, concat({date}, ' ', {cardinals}[2]), {chain}) "
         f"else {chain} end"
     )
 
@@ -309,10 +329,36 @@ def replace_keeping_word_boundaries(text: str, orig: str, dest: str, pattern: st
     return f"if(contains({text}, {orig}), {step}, {text})"
 
 
-def replace_cardinals(text: str, lang: str) -> str:
-    replaced = let(number_words("t", lang), lambda w: replace_keeping_word_boundaries("acc", "t", w))
-    folded = f"translate(aggregate({cardinal_tokens(text)}, {text}, (acc, t) -> {replaced}), {_SHOW})"
-    return with_names(f"if({text} rlike '[0-9]' and {_spellable(lang)}, {folded}, {text})")
+def spelled_tokens(tokens: DataFrame, token: str = "token", lang: str = "lang") -> DataFrame:
+    """``tokens`` with the ``words`` of every numeric token; each distinct one is spelled once.
+
+    Tokens are put together before the shuffle. The words are joined back by (language, token): a
+    dictionary that is small by its measured size is broadcast, and adaptive execution splits a
+    token that holds a large share of the rows.
+    """
+    distinct = tokens.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("__lang"), F.col(token).alias("__token")).distinct()
+    # fresh column names inside the rule, whose lambda variables must not meet them
+    words = distinct.withColumn("words", F.expr(with_names(number_words("__token", "__lang"))))
+    return tokens.join(words, (tokens[lang] == words["__lang"]) & (tokens[token] == words["__token"]), "left").drop("__lang", "__token")
+
+
+def replace_cardinals(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Digits in ``text`` to words, longest token first; rows without digits pass by.
+
+    The list of tokens of a row is bounded by its own text. Rows are numbered in a written table, so
+    that a retried task sees the same numbers.
+    """
+    wanted = f"if({text} rlike '[0-9]' and {_spellable(lang)}, {cardinal_tokens(text)}, null)"
+    rows = cut(df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__tokens", F.expr(wanted)))
+    has_some = F.coalesce(F.size("__tokens") > 0, F.lit(False))
+    tokens = rows.filter(has_some).select("__row", F.col(lang).alias("lang"), F.explode_outer("__tokens").alias("token"))
+    ordered = F.sort_array(F.collect_list(F.struct(F.length("token").alias("n"), F.col("token").alias("t"), "words")), asc=False)
+    of_row = spelled_tokens(tokens).groupBy("__row").agg(ordered.alias("__spelled"))
+    # a part of a longer token is gone once that token has its words
+    replaced = replace_keeping_word_boundaries("acc", "s.t", "s.words")
+    folded = F.expr(f"translate(aggregate(__spelled, {text}, (acc, s) -> {replaced}), {_SHOW})")
+    done = rows.filter(has_some).join(of_row, "__row").withColumn(text, folded)
+    return rows.filter(~has_some).select(*df.columns).unionByName(done.select(*df.columns))
 
 
 def symbols_to_words(text: str, lang: str) -> str:
@@ -333,8 +379,12 @@ def symbols_to_words(text: str, lang: str) -> str:
 
 
 def normalize_text(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Currency order, Roman, ordinal and cardinal numbers, symbols, blanks; row by row, no shuffle."""
+    """Currency order, Roman, ordinal and cardinal numbers, symbols, blanks.
+
+    All steps but the cardinals stay inside the row; for those each distinct token is spelled once.
+    """
     out = df
-    for step in (reorder_currency, replace_roman, replace_ordinals, replace_cardinals, symbols_to_words):
+    for step in (reorder_currency, replace_roman, replace_ordinals):
         out = out.withColumn(text, F.expr(step(text, lang)))
-    return out.withColumn(text, collapse_whitespace(F.col(text)))
+    out = replace_cardinals(out, text, lang)
+    return out.withColumn(text, collapse_whitespace(F.expr(symbols_to_words(text, lang))))

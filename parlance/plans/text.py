@@ -244,13 +244,13 @@ FROM (SELECT *, CASE WHEN len(p) = 2 THEN {_denominator('c[2]')} END AS below
       FROM (SELECT order_id, lang, token, string_split(token, '/') AS p,
               list_transform(string_split(token, '/'), lambda x: CAST(replace(x, ' ', '') AS BIGINT)) AS c FROM tok WHERE contains(token, '/')), names)""")
 def fractions_dates(spark, d):
-    return (
+    tokens = (
         T.numeric_lines(spark, d)
         .select("order_id", "lang", F.explode_outer(F.expr(X.cardinal_tokens("text"))).alias("token"))
         .filter("token is not null")
         .filter(F.contains("token", F.lit("/")))
-        .select("order_id", "token", F.expr(N.with_names(X.shown(X.number_words("token", "lang")))).alias("words"))
     )
+    return X.spelled_tokens(tokens).select("order_id", "token", F.expr(X.shown("words")).alias("words"))
 
 
 def _all_symbols(text: str) -> str:
