@@ -95,8 +95,8 @@ def merge_repeats(path: DataFrame, block: int = BLOCK, fan: int = 1024) -> DataF
 def merge_words(segments: DataFrame, vocab: DataFrame, separator: str = " ", block: int = BLOCK, fan: int = 1024) -> DataFrame:
     """Character segments to words between separators; the score is weighted by length.
 
-    Output per word and part: ``word`` holds the letters of ``block`` frames of it, so a word of
-    usual length has the single part 0.
+    A word is one row whatever its length: its letters are joined by blocks of frames, and those once
+    more in the order of the blocks.
     """
     layout = Layout(("seg_id",), ("start",), f"start div {block}", fan)
     labelled = lookup(segments, vocab, ["token_idx"], "inner").withColumn("__sep", F.col("label") == separator)
@@ -115,20 +115,22 @@ def merge_words(segments: DataFrame, vocab: DataFrame, separator: str = " ", blo
             F.transform(F.array_sort(F.collect_list(F.struct("start", "label"))), lambda x: x["label"]), ""
         ).alias("word")
     )
-    return words.join(parts, ["seg_id", "__after"]).withColumn(
-        "part", F.col("__block") - F.expr(f"start div {block}")
-    ).drop("__after", "__block")
+    whole = parts.groupBy("seg_id", "__after").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("__block", "word"))), lambda x: x["word"]), ""
+        ).alias("word")
+    )
+    return words.join(whole, ["seg_id", "__after"]).drop("__after")
 
 
 def frames_to_seconds(words: DataFrame, segments: DataFrame, originals: DataFrame, rate: int = 16000, block: int = BLOCK) -> DataFrame:
     """Frame times to seconds; the original words are kept only where their count matches.
 
     ``segments`` is (seg_id, samples, frames, offset), ``originals`` (seg_id, word_idx, original).
-    The frame count enters with one added, as the alignment grid has one more row than frames. A
-    word in several parts keeps them, with the same times.
+    The frame count enters with one added, as the alignment grid has one more row than frames.
     """
     layout = Layout(("seg_id",), ("start",), f"start div {block}")
-    index = prefix(words.filter("part = 0").select("seg_id", "start"), layout, word_idx=("sum", "1L"))
+    index = prefix(words.select("seg_id", "start"), layout, word_idx=("sum", "1L"))
     numbered = words.join(index, ["seg_id", "start"])
     counts = (
         index.groupBy("seg_id").agg(F.count("*").alias("__aligned"))
@@ -142,5 +144,5 @@ def frames_to_seconds(words: DataFrame, segments: DataFrame, originals: DataFram
         .withColumn("start_s", F.expr("start * __ratio + offset"))
         .withColumn("end_s", F.expr("end * __ratio + offset"))
         .withColumn("word", F.when(F.col("mismatch"), F.col("word")).otherwise(F.col("original")))
-        .select("seg_id", "word_idx", "part", "word", "start_s", "end_s", "mismatch")
+        .select("seg_id", "word_idx", "word", "start_s", "end_s", "mismatch")
     )

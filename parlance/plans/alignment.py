@@ -89,18 +89,18 @@ def merge_repeats(spark, d):
 
 
 @register("merge_words", C.ctes(C.CHAR_WORDS) + """
-SELECT seg_id, part, word, start, "end", round(score, 9) AS score FROM cwords JOIN cparts USING (seg_id, g)""")
+SELECT seg_id, word, start, "end", round(score, 9) AS score FROM cwords JOIN cparts USING (seg_id, g)""")
 def merge_words(spark, d):
     segments = cut(align.merge_repeats(T.scored_paths(spark, d)))
     return align.merge_words(segments, _labels(spark)).select(
-        "seg_id", "part", "word", "start", "end", F.round("score", 9).alias("score")
+        "seg_id", "word", "start", "end", F.round("score", 9).alias("score")
     )
 
 
 @register("frames_to_seconds", C.ctes(C.CHAR_WORDS, """
 n AS (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY start) - 1 AS word_idx FROM cwords),
 s AS (SELECT seg_id, (max(time_idx) + 1) * 320 AS samples, max(time_idx) + 1 AS frames, seg_id * 1.5::DOUBLE AS off FROM paths GROUP BY 1)""") + """
-SELECT seg_id, word_idx, part, CASE WHEN seg_id % 2 = 1 THEN word ELSE 'w' || word_idx END AS word,
+SELECT seg_id, word_idx, CASE WHEN seg_id % 2 = 1 THEN word ELSE 'w' || word_idx END AS word,
        round(start * (samples / ((frames + 1) * 16000)) + off, 6) AS start_s, round("end" * (samples / ((frames + 1) * 16000)) + off, 6) AS end_s,
        seg_id % 2 = 1 AS mismatch
 FROM n JOIN s USING (seg_id) JOIN cparts USING (seg_id, g)""")
@@ -111,10 +111,10 @@ def frames_to_seconds(spark, d):
         "seg_id", "frames * 320 as samples", "frames", "seg_id * 1.5D as offset"
     )
     # Transcript words for every aligned one, and one too many in odd segments.
-    per_segment = words.filter("part = 0").groupBy("seg_id").agg(F.count("*").alias("n"))
+    per_segment = words.groupBy("seg_id").agg(F.count("*").alias("n"))
     originals = per_segment.select(
         "seg_id", F.expr("explode(sequence(0L, n - 1 + seg_id % 2))").alias("word_idx")
     ).withColumn("original", F.concat(F.lit("w"), "word_idx"))
     return align.frames_to_seconds(words, segments, originals).select(
-        "seg_id", "word_idx", "part", "word", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "mismatch"
+        "seg_id", "word_idx", "word", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "mismatch"
     )

@@ -134,8 +134,8 @@ cwords AS (
   SELECT seg_id, g, min(start) AS start, max("end") AS "end", sum(score * ("end" - start)) / sum("end" - start) AS score
   FROM clabels GROUP BY 1, 2),
 cparts AS (
-  SELECT seg_id, g, c.start // 4096 - w.start // 4096 AS part, string_agg(['', 'a', 'b', 'c'][token_idx + 1], '' ORDER BY c.start) AS word
-  FROM clabels c JOIN cwords w USING (seg_id, g) GROUP BY 1, 2, 3)"""
+  SELECT seg_id, g, string_agg(['', 'a', 'b', 'c'][token_idx + 1], '' ORDER BY start) AS word
+  FROM clabels GROUP BY 1, 2)"""
 
 HYPS = TURNS + r""",
 ws AS (SELECT conv_id || ':' || turn AS session, list_transform(items, lambda w, i: {

@@ -139,3 +139,14 @@ def test_alignment_small_blocks(spark):
         assert sorted(tuple(r) for r in segs.select("seg_id", "token_idx", "start", "end").collect()) == sorted(want_segments)
         words = align.merge_words(segs, labels, block=4096, fan=fan)
         assert sorted(tuple(r) for r in words.select("seg_id", "word", "start", "end").collect()) == sorted(want_words)
+
+
+def test_a_long_word_is_one_row(spark):
+    segs = spark.createDataFrame([(0, 1 + i % 3, 3 * i, 3 * i + 2, -1.0) for i in range(50)], "seg_id long, token_idx long, start long, end long, score double")
+    labels = spark.createDataFrame([(0, " "), (1, "a"), (2, "b"), (3, "c")], "token_idx long, label string")
+    (word,) = align.merge_words(segs, labels, block=16, fan=2).collect()
+    assert (word.word, word.start, word.end) == ("".join("abc"[i % 3] for i in range(50)), 0, 149)
+    frames = spark.createDataFrame([(0, 48000, 150, 0.0)], "seg_id long, samples long, frames long, offset double")
+    given = spark.createDataFrame([(0, 0, "whole")], "seg_id long, word_idx long, original string")
+    (timed,) = align.frames_to_seconds(align.merge_words(segs, labels, block=16, fan=2), frames, given, block=16).collect()
+    assert (timed.word, timed.word_idx, timed.mismatch) == ("whole", 0, False)
