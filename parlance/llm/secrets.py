@@ -23,6 +23,7 @@ from parlance.llm.common import stored, table
 from parlance.llm.registry import register
 
 RULE_VERSION = 1
+INCREMENTS = 2
 #: Kind, pattern with group 1 as the part whose length counts, least length.
 RULES = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
@@ -52,13 +53,15 @@ def unscanned(versions: DataFrame, ledger: DataFrame | None, rule_version: int =
     """(blob, text), one row for each blob that ``rule_version`` has not seen.
 
     Copies are put together in each input task before the shuffle, so that a text that fills a
-    third of the table sends one row per task.
+    third of the table sends one row per task. The ledger is met after that, by the same partitioning.
     """
-    blobs = versions.select(blob_of().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-    if ledger is not None:
-        seen = ledger.filter(F.col("rule_version") == rule_version).select("blob")
-        blobs = blobs.join(seen, "blob", "left_anti")
-    return blobs.groupBy("blob").agg(F.any_value("text").alias("text"))
+    texts = versions.select(blob_of().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    blobs = texts.groupBy("blob").agg(F.any_value("text").alias("text"))
+    if ledger is None:
+        return blobs
+    seen = ledger.filter(F.col("rule_version") == rule_version).select("blob")
+    # the table of a task is built from the hashes, so texts are not sorted
+    return blobs.join(seen.hint("shuffle_hash"), "blob", "left_anti")
 
 
 def scan(blobs: DataFrame, rule_version: int = RULE_VERSION, rules: tuple = RULES) -> DataFrame:
@@ -97,37 +100,62 @@ def advance(
     """
     new = unscanned(versions, ledger, rule_version)
     found = stored(scan(new, rule_version, rules), "findings")
-    entries = new.select("blob", F.lit(rule_version).alias("rule_version"))
+    hashes = versions.select(blob_of().alias("blob")).distinct()
+    if ledger is not None:
+        hashes = hashes.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+    entries = hashes.select("blob", F.lit(rule_version).alias("rule_version"))
     return (
         entries if ledger is None else ledger.unionByName(entries),
         found if findings is None else findings.unionByName(found),
     )
 
 
-def by_blob(findings: DataFrame) -> DataFrame:
-    """(blob, spans): all findings of a blob by start, then kind as listed.
+def by_increments(
+    versions: DataFrame, of: Column, increments: int, rule_version: int = RULE_VERSION, rules: tuple = RULES
+) -> tuple[DataFrame, DataFrame]:
+    """The ledger and the findings after ``increments`` steps; a version arrives in step ``of``, from 0.
+
+    Every step reads the stored ledger of the steps before it, so a text that came back later is not
+    scanned again.
+    """
+    ledger = findings = None
+    for step in range(increments):
+        arrived = versions.filter(of.eqNullSafe(F.lit(step)))
+        ledger, findings = advance(arrived, ledger, findings, rule_version, rules)
+        if step + 1 < increments:
+            ledger = stored(ledger, "ledger")
+    return ledger, findings
+
+
+def by_blob(findings: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
+    """(blob, spans): the findings that one version of the rules made in a blob, by start, then kind as listed.
 
     The list of a blob is bounded by its own text, which is one row of the input.
     """
-    return findings.groupBy("blob").agg(
+    return findings.filter(F.col("rule_version") == rule_version).groupBy("blob").agg(
         F.sort_array(F.collect_list(F.struct("start", "ord", "kind", "end"))).alias("spans")
     )
 
 
-def located(versions: DataFrame, findings: DataFrame) -> DataFrame:
+def located(versions: DataFrame, findings: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
     """Findings at every path and version: the columns of ``versions`` without text, and spans (null: none)."""
     held = versions.withColumn("blob", blob_of()).drop("text")
-    return held.join(by_blob(findings), "blob", "left")
+    return held.join(by_blob(findings, rule_version), "blob", "left")
 
 
 def _line(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def mask(versions: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``versions`` with every found span replaced by ``mark``; spans that touch share one mark."""
-    spans = by_blob(findings).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    held = versions.withColumn("_blob", blob_of()).join(spans, "_blob", "left")
+def mask(versions: DataFrame, findings: DataFrame, mark: str = "[SECRET]", rule_version: int = RULE_VERSION) -> DataFrame:
+    """``versions`` with every found span replaced by ``mark``; spans that touch share one mark.
+
+    The columns of ``versions`` travel in one struct, so none of their names can clash.
+    """
+    held = versions.select(blob_of().alias("blob"), F.struct(*versions.columns).alias("row")).join(
+        by_blob(findings, rule_version), "blob", "left"
+    )
+    text = F.col("row.text")
 
     def step(state: Column, span: Column) -> Column:
         apart = span["start"] > state["at"]
@@ -135,19 +163,20 @@ def mask(versions: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> Da
             F.greatest(state["at"], span["end"]).alias("at"),
             F.when(
                 apart | (F.size(state["keep"]) == 0),
-                F.concat(state["keep"], F.array(F.substring(F.col("text"), (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int")))),
+                F.concat(state["keep"], F.array(F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int")))),
             ).otherwise(state["keep"]).alias("keep"),
         )
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("keep"))
     cut = F.aggregate(
-        "_spans", start, step,
+        "spans", start, step,
         lambda s: F.concat(
             F.array_join(F.transform(s["keep"], lambda k: F.concat(k, F.lit(mark))), ""),
-            F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text")),
+            F.substring(text, (s["at"] + 1).cast("int"), F.length(text)),
         ),
     )
-    return held.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(*versions.columns)
+    masked = F.when(F.col("spans").isNull(), text).otherwise(cut)
+    return held.select(*(masked.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in versions.columns))
 
 
 _PIECES = """
@@ -178,9 +207,12 @@ FROM documents d LEFT JOIN lists USING (doc_id)"""
 
 @register("op7_secret_ledger", SQL_OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document; each document is one version at its own path."""
+    """Secrets of every document; each document is one version at its own path.
+
+    The documents arrive in two increments by a hash of the id; the second finds the ledger of the first.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    _, findings = advance(docs)
+    _, findings = by_increments(docs, F.pmod(F.xxhash64("doc_id"), F.lit(INCREMENTS)).cast("int"), INCREMENTS)
     spans = F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,ord:int,kind:string,end:bigint>>)"))
     base = F.filter(spans, lambda s: s["ord"] < len(BASE_KINDS))
     n = lambda i: F.size(F.filter(spans, lambda s: s["ord"] == i)).cast("long")
