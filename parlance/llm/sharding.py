@@ -4,6 +4,10 @@ Each record is hashed into one of a fixed number of slots. Bytes are added up pe
 versioned map gives each slot to a shard. Rebalancing edits the map: it writes the next version in
 which some slots have moved, and only the records of those slots move.
 
+A slot depends on id, size and crc of a record. Rows that are equal in all three, and so many that
+they outweigh a slot, are dealt over all slots by their place in the table; as they are equal, it
+does not matter which of them goes where.
+
 The slot table has ``slots`` rows whatever the size of the input, so it may be broadcast, and the
 map is made by one fold over that table. Records are never gathered by shard: positions in a shard
 come from a running count inside one slot plus the start of the slot in its shard.
@@ -21,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parlance.llm.common import shared_folder, table
+from parlance.llm.common import shared_folder, stored, table
 from parlance.llm.registry import register
 
 SLOTS = 4096
 SHARDS = 8
+#: Rows of one id, size and crc are dealt on to all slots where they are more than this, and more than a quarter of a slot's share.
+COPIES = 16
 
 
 def slot_of(*key: str | Column, slots: int = SLOTS) -> Column:
@@ -46,6 +52,12 @@ def _least_loaded(loads: Column) -> Column:
     return F.array_position(loads, F.array_min(loads)).cast("int")
 
 
+def even_map(spark: SparkSession, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
+    """Version 1 before anything is counted: slots dealt in turn, (version, vslot, shard)."""
+    slot = F.col("id").cast("int")
+    return spark.range(0, slots, 1, 1).select(F.lit(1).alias("version"), slot.alias("vslot"), (slot % shards).alias("shard"))
+
+
 def first_map(sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Version 1: slots from large to small, each to the shard with the fewest bytes so far.
 
@@ -117,7 +129,8 @@ def placed(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Records with their shard and their place in it, counted from 0 without gaps.
 
     ``records`` needs vslot and the columns of ``order`` (doc_id, size, text_crc32). The running
-    count sorts one slot at a time and can spill; a slot holds one in ``slots`` of all records.
+    count sorts one slot at a time and can spill; :func:`slotted` keeps slots near one in ``slots`` of
+    all records.
     """
     counted = records.groupBy("vslot").agg(F.count("*").alias("rows")).join(F.broadcast(slot_map), "vslot")
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
@@ -131,25 +144,53 @@ def placed(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     )
 
 
+def measured(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, size, text_crc32) of every document, and ``more``."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), *more)
+
+
+def slotted(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``records`` (with doc_id, size, text_crc32) and their slot, as a stored table.
+
+    The list of crowded keys has 4 ``slots`` rows at most, since each holds over one in 4 ``slots`` of all
+    rows, so it is broadcast.
+    """
+    key = F.xxhash64("doc_id", "size", "text_crc32")
+    counts = stored(records.groupBy(key.alias("key")).agg(F.count("*").alias("n")), "copies")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    crowded = counts.filter(F.col("n") > max(COPIES, total // (4 * slots))).select(F.col("key").alias("crowded"))
+    row = F.struct(*records.columns)
+    held = records.select(key.alias("key"), F.monotonically_increasing_id().alias("place"), row.alias("row"))
+    salt = F.when(F.col("crowded").isNotNull(), F.col("place")).otherwise(F.lit(-1))
+    placed = held.join(F.broadcast(crowded), F.col("key") == F.col("crowded"), "left").select(
+        "row.*", slot_of("key", salt, slots=slots).alias("vslot")
+    )
+    return stored(placed, "slotted")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, size, text_crc32, vslot) of every document."""
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")
-    ).withColumn("vslot", slot_of("doc_id"))
+    return slotted(measured(docs))
 
 
 def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, parts: int = 4) -> None:
     """Write whole documents into folders ``shard=N``; slots are dealt over ``parts`` files a shard."""
-    keyed = docs.withColumn("vslot", slot_of("doc_id")).join(F.broadcast(slot_map.select("vslot", "shard")), "vslot")
-    keyed.repartition("shard", F.col("vslot") % parts).drop("vslot").write.partitionBy("shard").parquet(path)
+    whole = slotted(measured(docs, F.struct(*docs.columns).alias("doc")))
+    keyed = whole.join(F.broadcast(slot_map.select("vslot", "shard")), "vslot")
+    keyed.repartition("shard", F.col("vslot") % parts).select("doc.*", "shard").write.partitionBy("shard").parquet(path)
 
 
 @register("op10_shard_virtual_slots")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in eight shards of near equal bytes."""
+    """All documents in eight shards of near equal bytes.
+
+    The first version of the map deals slots in turn; the second is its edit by the bytes of the slots.
+    """
     records = sized(table(spark, sf_dir, "documents"))
-    slot_map = save_map(first_map(slot_sizes(records))).select("vslot", "shard")
+    first = even_map(spark)
+    maps = save_map(first.unionByName(rebalanced(first, stored(slot_sizes(records), "slots"), SHARDS)))
+    slot_map = maps.filter("version = 2").select("vslot", "shard")
     return placed(records, slot_map).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot"
     )
