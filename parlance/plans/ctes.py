@@ -147,3 +147,49 @@ hyps AS (SELECT session, iter, ws, least(4 * iter, len(ws)) AS heard, greatest(4
       WHEN greatest(4 * iter - 12, 0) + j = 4 * iter AND 4 * iter < len(ws) THEN {'start': w.start, 'end': w.end, 'word': w.word || '#'} ELSE w END) AS words,
     ws[least(4 * iter, len(ws))].end + CASE WHEN iter % 3 = 0 THEN 0.02::DOUBLE ELSE 0.1::DOUBLE END AS buffer_end
   FROM steps)"""
+
+
+def agreement(pause: float, trimming: float, edge: float, marks: str, max_words: int = -1, final_min_words: int | None = None, partials_per_second: float = 0) -> str:
+    """The live agreement followed hypothesis by hypothesis: ``agree`` has one row an emission.
+
+    ``marks`` are the characters that a comparison of words leaves out and that end a final.
+    """
+    marks = marks.replace("'", "''")
+    same = f"translate(lower(new[i].word), '{marks}', '') = translate(lower(waiting[i].word), '{marks}', '')"
+    crowded = f"len(waiting) - i + 1 > {max_words}" if max_words > -1 else "false"
+    complete = f"len(finals) > {final_min_words}" if final_min_words is not None else f"contains('{marks}', right(finals[-1].word, 1)) AND finals[-1].word <> ''"
+    due = f"sent IS NULL OR buffer_end - sent > {1 / (partials_per_second + 1)!r}::DOUBLE" if partials_per_second else "true"
+    joined = "coalesce(array_to_string(list_transform({0}, lambda w: w.word), ' '), '')".format
+    none = "[]::STRUCT(\"start\" DOUBLE, \"end\" DOUBLE, word VARCHAR)[]"
+    return HYPS.replace("turns AS", "RECURSIVE turns AS", 1) + rf""",
+heard AS (
+  SELECT *, list_transform(list_filter(range(len(words)), lambda j: (lo + j + 1) % 8 = 0 OR lo + j + 1 = heard), lambda j: words[j + 1].end) AS ends
+  FROM (SELECT session, iter, lo, heard, words, buffer_end, false AS eof FROM hyps
+        UNION ALL SELECT session, iter + 1, lo, heard, words, ws[-1].end + 0.5::DOUBLE, true FROM hyps WHERE 4 * iter >= len(ws))),
+walk AS (
+  SELECT session, 0::BIGINT AS iter, 0::DOUBLE AS last, 0::DOUBLE AS cut_at, {none} AS committed, {none} AS waiting, {none} AS finals,
+         NULL::DOUBLE AS sent, NULL::VARCHAR AS kind, {none} AS shown, {none} AS rest
+  FROM (SELECT DISTINCT session FROM heard)
+  UNION ALL
+  SELECT session, iter, last, cut_at, committed, waiting, CASE WHEN ready THEN {none} ELSE finals END,
+         CASE WHEN ready THEN NULL WHEN sends THEN buffer_end ELSE sent END,
+         CASE WHEN eof OR ready THEN 'final' WHEN sends THEN 'partial' END,
+         CASE WHEN ready THEN finals ELSE finals || waiting END, CASE WHEN ready AND eof THEN waiting ELSE {none} END
+  FROM (SELECT *, NOT ready AND len(finals) + len(waiting) > 0 AND ({due}) AS sends
+  FROM (SELECT * REPLACE (coalesce(cut, cut_at) AS cut_at, CASE WHEN cut IS NULL THEN committed ELSE list_filter(committed, lambda w: w.end > cut) END AS committed),
+           coalesce(len(finals) > 0 AND {complete} AND finals[-1].end <> 0
+             AND finals[-1].end + {pause}::DOUBLE < CASE WHEN len(waiting) = 0 THEN buffer_end WHEN len(waiting) <= 3 THEN waiting[1].end END, false) AS ready
+  FROM (SELECT * REPLACE (CASE WHEN len(waiting) > 0 AND buffer_end - waiting[-1].end < {edge}::DOUBLE THEN waiting[1 : len(waiting) - 1] ELSE waiting END AS waiting),
+           CASE WHEN buffer_end - cut_at > {trimming}::DOUBLE AND len(ends) > 1 AND len(committed) > 0
+             THEN list_max(list_filter(ends[1 : len(ends) - 1], lambda e: e <= last)) END AS cut
+  FROM (SELECT * REPLACE (CASE WHEN n > 0 THEN new[n].end ELSE last END AS last, committed || new[1 : n] AS committed, finals || new[1 : n] AS finals, new[n + 1 : len(new)] AS waiting)
+  FROM (SELECT *, coalesce(list_filter(range(1, least(len(new), len(waiting)) + 1), lambda i: NOT ({same} OR {crowded}))[1] - 1, least(len(new), len(waiting))) AS n
+  FROM (SELECT * REPLACE (new[said + 1 : len(new)] AS new)
+  FROM (SELECT *, CASE WHEN len(new) > 0 AND abs(new[1].start - last) < 1 THEN coalesce(list_filter(range(1, 6), lambda i: i <= least(len(committed), len(new)) AND
+             list_transform(committed[len(committed) - i + 1 : len(committed)], lambda w: w.word) = list_transform(new[1 : i], lambda w: w.word))[1], 0) ELSE 0 END AS said
+  FROM (SELECT h.*, last, cut_at, committed, waiting, finals, sent, list_filter(h.words, lambda w: w.start > last - 0.1::DOUBLE) AS new
+        FROM walk k JOIN heard h ON h.session = k.session AND h.iter = k.iter + 1))))))))),
+agree AS (
+  SELECT session, iter, kind, list_min([shown[1].start, rest[1].start]) AS "start", list_max([shown[-1].end, rest[-1].end]) AS "end",
+         {joined("shown")} || {joined("rest")} AS text
+  FROM walk WHERE kind IS NOT NULL)"""

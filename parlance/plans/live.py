@@ -233,16 +233,25 @@ def session_text(spark, d):
     return L.session_text(finals, A.part_of("iter"))
 
 
-@register("stream_agreement")
+_RULES = agreement.Settings()
+_CAPPED = agreement.Settings(pause=1.2, trimming=10.0, max_words=MAX_WORDS_IN_BUFFER, final_min_words=2, partials_per_second=PARTIALS_PER_SECOND)
+
+
+def _agree(rules: agreement.Settings) -> str:
+    return C.ctes(C.agreement(
+        rules.pause, rules.trimming, rules.edge, ASCII_PUNCTUATION, rules.max_words, rules.final_min_words, rules.partials_per_second
+    ))
+
+
+@register("stream_agreement", _agree(_RULES) + "SELECT * FROM agree")
 def stream_agreement(spark, d):
     return agreement.agree_batch(T.hypotheses(T.turns(spark, d)))
 
 
-@register("stream_agreement_capped")
+@register("stream_agreement_capped", _agree(_CAPPED) + "SELECT * FROM agree")
 def stream_agreement_capped(spark, d):
-    settings = agreement.Settings(pause=1.2, trimming=10.0, max_words=MAX_WORDS_IN_BUFFER, final_min_words=2, partials_per_second=PARTIALS_PER_SECOND)
     hyps = T.hypotheses(T.turns(spark, d)).withColumn("at", F.col("buffer_end"))
-    return agreement.agree_batch(hyps, settings)
+    return agreement.agree_batch(hyps, _CAPPED)
 
 
 def _live_emissions(spark, d):
@@ -250,7 +259,7 @@ def _live_emissions(spark, d):
     return agreement.agree_stream(T.hypotheses(turns))
 
 
-@register("stream_agreement_live")
+@register("stream_agreement_live", _agree(_RULES) + "SELECT * FROM agree")
 def stream_agreement_live(spark, d):
     return run.collected(_live_emissions(spark, d))
 
@@ -263,28 +272,15 @@ def _finished(hyps):
     return texts.select("session", F.replace("text", F.lit(" "), F.lit("")).alias("text"))
 
 
-@register("finish_every_session")
-def finish_every_session(spark, d):
-    return _finished(T.hypotheses(T.turns(spark, d)))
+# All finals of a session, the flush at its end included, one after the other.
+_FINISHED = _agree(_RULES) + """
+SELECT session, replace(replace(string_agg(text, '' ORDER BY iter), '#', ''), ' ', '') AS text FROM agree WHERE kind = 'final' GROUP BY session"""
 
 
-# All finals of a session, the flush at its end included, give the turn's text back.
-@register("finish_session", C.ctes(C.HYPS, """
-g AS (SELECT DISTINCT session, array_to_string(list_transform(ws, lambda w: w.word), ' ') AS text FROM hyps),
-rep AS (SELECT DISTINCT session FROM (SELECT session, list_transform(ws, lambda w: w.word) AS t, unnest(range(1, len(ws) + 1)) AS i, ws FROM ws)
-        WHERE t[i] = t[i + 1] OR (t[i] = t[i + 2] AND t[i + 1] = t[i + 3]) OR t[i : i + 2] = t[i + 3 : i + 5] AND i + 5 <= len(t)
-           OR t[i : i + 3] = t[i + 4 : i + 7] AND i + 7 <= len(t) OR t[i : i + 4] = t[i + 5 : i + 9] AND i + 9 <= len(t))""") + """
-SELECT session, replace(text, ' ', '') AS text FROM g WHERE session NOT IN (SELECT session FROM rep)""")
+@register("finish_every_session", _FINISHED)
+@register("finish_session", _FINISHED)
 def finish_session(spark, d):
-    hyps = cut(T.hypotheses(T.turns(spark, d)))
-    # The SQL twin leaves out turns in which a word group is said twice in a row, as the agreement
-    # takes it for an echo; finish_every_session has all turns.
-    echo = " or ".join(
-        f"exists(sequence(1, greatest(size(t) - {2 * n} + 1, 1)), i -> i + {2 * n - 1} <= size(t) and slice(t, i, {n}) = slice(t, i + {n}, {n}))"
-        for n in range(1, 6)
-    )
-    echoes = hyps.filter("eof").withColumn("t", F.expr("transform(ws, w -> w.word)")).filter(echo).select("session")
-    return _finished(hyps).join(echoes, "session", "left_anti")
+    return _finished(T.hypotheses(T.turns(spark, d)))
 
 
 @register("partial_revision_rate", _PAIRS + """,
