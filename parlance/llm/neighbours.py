@@ -4,16 +4,16 @@ Rows are dealt into blocks by a hash of their id; a block has about ``BLOCK`` ro
 tree of a block gives every row a long hash string, one bit for the side of each of ``LENGTH``
 random hyperplanes through the middle of the block, and keeps the strings sorted. A query looks in
 each tree for its longest prefix by binary search. Then all trees go up together, one bit at a time,
-until the rows that share the prefix in any tree are enough; these are compared exactly, in double
+until they have met ``VISITS`` rows for each row of the block, and the rows are ranked by the sum of
+their shared prefix lengths over the trees; the first of them are compared exactly, in double
 precision, and the nearest of all blocks are merged.
 
 The stated query set meets every block in pieces of ``QUERIES_AT_ONCE``, so a task holds one block
 and one piece. Of equal vectors only the first ids can be in a result, so no more of them enter the
 index: ``k`` others and the query itself.
 
-``SHARE`` of a block, and ``LEAST`` rows, are looked at for each query at least: vectors without any structure need most
-of a block for a recall of 0.9, and the tests measure it against brute force. Structured ones may
-do with less.
+``SHARE`` of a block, and ``LEAST`` rows at least, are compared for each query: vectors without any
+structure need that many for a recall of 0.9, and the tests measure it against brute force.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite numbers take no part; rows without an id take no part; of rows that repeat an id the
@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from parlance.llm.common import stored, table
 from parlance.llm.registry import register
 
-TREES, LENGTH, SHARE, LEAST, SEED = 40, 24, 0.55, 512, 20_240_229
+TREES, LENGTH, VISITS, SHARE, LEAST, SEED = 160, 16, 16, 0.25, 100, 20_240_229
 BLOCK, QUERIES_AT_ONCE = 8_192, 1_024
 
 
@@ -58,8 +58,11 @@ class Forest:
 
     def strings(self, vectors: np.ndarray) -> np.ndarray:
         """(rows, trees) hash strings as integers, the first bit on top."""
-        sides = ((vectors - self.middle) @ self.planes > 0).reshape(len(vectors), -1, self.length)
-        return sides @ (np.int64(1) << np.arange(self.length - 1, -1, -1, dtype=np.int64))
+        out = np.empty((len(vectors), self.planes.shape[1] // self.length), np.int64)
+        for at in range(0, len(vectors), 512):
+            sides = ((vectors[at : at + 512] - self.middle) @ self.planes > 0).reshape(-1, out.shape[1], self.length)
+            out[at : at + 512] = sides @ (np.int64(1) << np.arange(self.length - 1, -1, -1, dtype=np.int64))
+        return out
 
     def ranges(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(levels, queries, trees): first and end of the rows that share a prefix; level 0 is the whole string."""
@@ -73,20 +76,28 @@ class Forest:
                 end[up, :, t] = np.searchsorted(self.sorted[:, t], low[:, t] + (1 << up), "left")
         return first, end
 
-    def candidates(self, queries: np.ndarray, least: int):
-        """For each query the rows that its trees reach together, ``least`` different ones or all."""
+    def candidates(self, queries: np.ndarray, least: int, visits: int = VISITS):
+        """For each query the ``least`` rows whose prefixes are longest over all trees, or all rows.
+
+        The trees go up together until they have met ``visits`` rows for each row of the block. A row
+        counts one for each tree and level at which it shares the prefix.
+        """
         first, end = self.ranges(queries)
-        reached = (end - first).sum(axis=2)
-        for q in range(len(queries)):
-            level = int(np.argmax(reached[:, q] >= least)) if reached[-1, q] >= least else self.length
-            seen = np.zeros(len(self.vectors), bool)
-            while True:
-                for t in range(first.shape[2]):
-                    seen[self.order[first[level, q, t] : end[level, q, t], t]] = True
-                if level == self.length or np.count_nonzero(seen) >= least:
-                    break
-                level += 1
-            yield np.flatnonzero(seen)
+        n, trees = len(self.vectors), first.shape[2]
+        stop = np.argmax((end - first).sum(axis=2) >= min(visits, trees) * n, axis=0)
+        for q, top in enumerate(stop):
+            if least >= n:
+                yield np.arange(n)
+                continue
+            low, high = first[top, q], end[top, q]
+            base = np.concatenate(([0], np.cumsum(high - low)))
+            steps = np.zeros(base[-1] + 1, np.int32)
+            for level in range(min(top, self.length - 1) + 1):  # the empty prefix tells nothing
+                np.add.at(steps, base[:-1] + first[level, q] - low, 1)
+                np.add.at(steps, base[:-1] + end[level, q] - low, -1)
+            met = np.concatenate([self.order[low[t] : high[t], t] for t in range(trees)])
+            shared = np.bincount(met, np.cumsum(steps[:-1]), n)
+            yield np.argpartition(-shared, least - 1)[:least]
 
 
 def nearest(
@@ -119,6 +130,8 @@ def nearest(
         for size in np.intersect1d(sizes, asks):
             ids, vectors = stacked(found.filter(pa.array(sizes == size)))
             query_ids, asked_for = stacked(wanted.filter(pa.array(asks == size)))
+            by_id = np.argsort(ids, kind="stable")  # the same forest whatever the order of arrival
+            ids, vectors = ids[by_id], vectors[by_id]
             forest = Forest(vectors, trees, length)
             least = max(LEAST, math.ceil(share * len(ids)))
             for query, q, rows_ in zip(query_ids, asked_for, forest.candidates(asked_for, least), strict=True):
