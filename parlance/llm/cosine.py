@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.common import stored, table
@@ -164,12 +164,24 @@ def tile_links(vectors: DataFrame, threshold: float, tile: int, size: int, axes:
     return pairs.groupBy("label", "s1", "t1", "s2", "t2").applyInArrow(compare, "node long, links long, root long")
 
 
+def by_power_of_two(v: Column) -> Column:
+    """A vector times the power of two that brings its largest number near one.
+
+    This is exact and leaves the cosine as it is, while the squares of very small and very large numbers
+    stay in range.
+    """
+    largest = F.array_max(F.transform(v, F.abs))
+    power = F.pow(F.lit(2.0), F.greatest(F.least(-F.floor(F.log2(largest)), F.lit(1000)), F.lit(-1000)))
+    return F.transform(v, lambda x: x * power)
+
+
 def near_vectors(
     rows: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", label: str = "label", tile: int = TILE
 ) -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
+    double = F.transform(vector, lambda x: x.cast("double"))
     every = rows.select(
-        F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(label).cast("string").alias("label"),
+        F.col(key).cast("long").alias("id"), F.when(usable(vector), by_power_of_two(double)).alias("v"), F.col(label).cast("string").alias("label"),
         (usable(vector) & F.col(label).isNotNull()).alias("takes_part"),
     )
     members = every.filter("takes_part").select("id", "v", "label")

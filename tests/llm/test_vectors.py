@@ -94,7 +94,7 @@ def test_recall(spark, sf):
         d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
         order = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
         hits.append(len(set(ids[order]) & got[q]) / 10)
-    assert np.mean(hits) >= 0.9
+    assert np.mean(hits) >= 0.9 and neighbours.SHARE <= 0.3
 
 
 def test_nearest_hot_vector_and_empty(spark):
@@ -115,3 +115,22 @@ def test_components_of_chains_and_stars(spark):
     assert {found[i] for i in [7, *range(200, 260), 300]} == {7}
     assert 3 not in found
     assert components(spark.createDataFrame([], "x long, y long")).collect() == []
+
+
+def test_cosine_of_very_small_and_very_large_numbers(spark):
+    rows = [(1, [1e-200, 1e-200], 0), (2, [1e200, 1.0001e200], 0), (3, [3.0, 3.0], 0), (4, [1e200, -1e200], 0), (5, [5e-324, 5e-324], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cosine.near_vectors(frame).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
+def test_forest_ranks_by_summed_prefixes():
+    """Candidates are the rows with the longest shared prefixes over all trees, compared with a plain count."""
+    rng = np.random.default_rng(4)
+    points, asked = rng.normal(size=(300, 16)), rng.normal(size=(7, 16))
+    forest = neighbours.Forest(points, trees=12, length=9)
+    mine, theirs = forest.strings(points), forest.strings(asked)
+    for q, found in enumerate(forest.candidates(asked, least=40, visits=12)):
+        same = [[next((p for p in range(9, 0, -1) if a >> (9 - p) == b >> (9 - p)), 0) for a, b in zip(row, theirs[q], strict=True)] for row in mine]
+        total = np.array(same).sum(axis=1)
+        assert len(set(found)) == 40 and total[found].min() >= np.sort(total)[-40]
