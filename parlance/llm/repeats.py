@@ -325,10 +325,11 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, wide: i
     """
     found = removed_runs(docs, span, gram, wide)
     kept = _cut(found, span, "_kept string", lambda raw: raw.decode("utf-8", "ignore"))
-    changed = stored(kept.filter("n_removed > 0").select(F.col("key").alias("_key"), "_kept"), "changed")
+    changed = stored(kept.filter("n_removed > 0").select("key", "_kept"), "changed")
     discard(*found)
-    joined = docs.withColumn("_key", key_of()).join(changed, "_key", "left")
-    return joined.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    # the given columns stay in a struct, so that none of them meets the two of this join
+    joined = docs.select(F.struct("*").alias("doc"), key_of().alias("key")).join(changed, "key", "left")
+    return joined.select(*(F.coalesce("_kept", "doc.text").alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 @register("op1_suffix_dedup")

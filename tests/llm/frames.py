@@ -21,14 +21,14 @@ def awkward_texts() -> list:
     ]
 
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, key string, ids string, rank int, size string, shard string, blob string"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, key string, ids string, rank int, size string, shard string, blob string, _key string, _kept string, row string"
 
 
 def documents(spark, texts=None, ids=None, langs=None):
     texts = awkward_texts() if texts is None else texts
     ids = list(range(len(texts))) if ids is None else ids
     langs = langs or [None] * len(texts)
-    rows = [(i, t, g, "s", 7, "k", "i", 3, "z", "h", "b") for i, t, g in zip(ids, texts, langs, strict=True)]
+    rows = [(i, t, g, "s", 7, "k", "i", 3, "z", "h", "b", "u", "w", "r") for i, t, g in zip(ids, texts, langs, strict=True)]
     return spark.createDataFrame(rows, COLUMNS)
 
 

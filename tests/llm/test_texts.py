@@ -1,8 +1,10 @@
 """Operators on documents against direct rules on small tables."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -45,7 +47,7 @@ def test_repeats(spark, span, gram, wide):
     cut = by_id(repeats.without_repeats(docs, span, gram, wide))
     for i, (text, expected) in enumerate(zip(texts, want, strict=True)):
         assert cut[i].text == (None if text is None else expected[3].decode("utf-8", "ignore"))
-        assert cut[i].key == "k"
+        assert (cut[i].key, cut[i]._key, cut[i]._kept, cut[i].row) == ("k", "u", "w", "r")
 
 
 def test_places_depend_on_the_string_alone():
@@ -318,6 +320,60 @@ def test_trees_follow_a_rule():
     assert ((trees.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.97
 
 
+def test_trees_equal_a_walk_and_an_exhaustive_split():
+    """Flat arrays against a walk node by node, and the first split against all features and limits."""
+    rng = np.random.default_rng(3)
+    x, least = rng.normal(size=(300, 5)).astype(np.float32), 20
+    y = (x[:, 2] + 0.3 * rng.normal(size=300) > 0.4).astype(float)
+    trees = quality.fit(x, y, trees=6, depth=3, bins=16, least=least)
+    for row, score in zip(x, trees.score(x), strict=True):
+        total = trees.start
+        for feature, limit, value in zip(trees.feature, trees.limit, trees.value, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > limit[node] else 1)
+            total += value[node - len(feature)]
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-12
+    grad, hess = y.mean() - y, np.full(300, y.mean() * (1 - y.mean()))
+
+    def gain(f, limit):
+        left = x[:, f] <= limit
+        if left.sum() < least or (~left).sum() < least:
+            return 0.0
+        part = lambda rows: grad[rows].sum() ** 2 / (hess[rows].sum() + 1)
+        return part(left) + part(~left) - part(np.ones(300, bool))
+
+    best = max(gain(f, limit) for f in range(5) for limit in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 17)[1:-1])))
+    assert best > 0 and abs(gain(trees.feature[0, 0], trees.limit[0, 0]) - best) < 1e-9
+
+
+def test_language_equals_a_plain_out_of_place_distance(spark):
+    """Profiles and predictions against counts and ranks written out with strings."""
+    texts = ["the cat and the dog sat", "a dog and a hat, that is that", "le chat et le chien", "un chien est la et le chat aussi", "das ist ein Hund und die Katze"]
+    langs = ["en", "en", "fr", "fr", "de"]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 0][: len(texts)]
+    size = 25
+
+    def counted(text):
+        line = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+        grams = [c for c in line if c != " "] + [line[i : i + 2] for i in range(len(line) - 1)]
+        return Counter(grams + [line[i : i + 3] for i in range(len(line) - 2) if line[i + 1] != " "])
+
+    def ranked(counts):
+        code = lambda g: sum(ord(c) << (21 * k) for k, c in enumerate(reversed(g)))
+        return sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+
+    plain = {g: ranked(sum((counted(t) for t, x in zip(texts, langs, strict=True) if x == g), Counter())) for g in set(langs)}
+    asked = [*texts, "the hat", "le", "Hund", "dog chat und"]
+    learned = language.profiles(documents(spark, texts, ids, langs), size=size)
+    got = by_id(language.identify(documents(spark, asked), learned, size))
+    for i, text in enumerate(asked):
+        top = ranked(counted(text))
+        costs = {g: sum(abs(p.index(x) - k) if x in p else size for k, x in enumerate(top)) for g, p in plain.items()}
+        best = min(sorted(costs), key=costs.get)
+        assert got[i].lang_pred == best and abs(got[i].score - (1 - costs[best] / (size * len(top)))) < 1e-12
+
+
 @pytest.mark.parametrize("name", ["simhash", "bpe", "packing", "secrets", "sharding", "language", "quality", "repeats"])
 def test_empty_table(spark, name):
     docs = documents(spark, [])
