@@ -6,8 +6,9 @@ stands for one text of one input row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +19,8 @@ from parlance.operators.assemble import glue_apostrophes
 
 LOWER, UPPER, CAPITALIZE, OTHER = range(4)
 PERIOD = 2
+#: Pieces of a vocabulary that every task may hold.
+VOCABULARY_IN_MEMORY = 500_000
 BOUNDARY_TOKENS = ("[CLS]", "[SEP]", "<s>", "</s>")
 
 
@@ -202,15 +205,75 @@ def _json_fields(bare: Column) -> tuple[Column, Column]:
 
 # --- sub-word coverage --------------------------------------------------------------------------
 
-def wordpiece_coverage(words: DataFrame, vocab: DataFrame, word: str = "word", max_chars: int = 100) -> DataFrame:
+class Pieces:
+    """A vocabulary in memory: its pieces, and the longest one by first character, at the start and behind it."""
+
+    def __init__(self, pieces: list[str]):
+        self.pieces = frozenset(pieces)
+        self.longest: dict[tuple[bool, str], int] = {}
+        for piece in self.pieces:
+            for inner in {False, piece.startswith("##")}:
+                body = piece[2:] if inner else piece
+                if body:
+                    at = (inner, body[0])
+                    self.longest[at] = max(self.longest.get(at, 0), len(body))
+
+    def split(self, word: str | None, max_chars: int) -> list[str]:
+        """Longest pieces from left to right, as they are or in lower case; none for an unknown word."""
+        out: list[str] = []
+        size = len(word) if word else 0
+        if not 0 < size <= max_chars:
+            return out
+        at = 0
+        while at < size:
+            mark, head = "##" if at else "", word[at]
+            most = max(self.longest.get((at > 0, c), 0) for c in (head, head.lower()[:1]))
+            for end in range(min(size, at + most), at, -1):
+                own = mark + word[at:end]
+                if own in self.pieces or own.lower() in self.pieces:
+                    out.append(own)
+                    at = end
+                    break
+            else:
+                return []
+        return out
+
+
+def wordpiece_coverage(
+    words: DataFrame, vocab: DataFrame, word: str = "word", max_chars: int = 100, in_memory: int = VOCABULARY_IN_MEMORY
+) -> DataFrame:
     """Greedy longest-match pieces of every distinct word, with the word's count.
 
-    ``vocab`` is one column ``piece``, of any size. Each distinct word lists its substrings once,
-    those in the vocabulary stay (as they are, or in lower case; behind the start with ``##``), and
-    a fold over the word's own longest ones takes them from left to right. No pieces means that the
-    word is unknown. Output: word, n, pieces, known.
+    ``vocab`` is one column ``piece``, of any size. Up to ``in_memory`` pieces, which are counted first,
+    every task has the vocabulary and walks over its distinct words, so that only those are shuffled; a
+    larger one is joined to the substrings of the words. Pieces are in the vocabulary as they are or in
+    lower case; behind the start with ``##``. No pieces means that the word is unknown.
+    Output: word, n, pieces, known.
     """
     counted = words.groupBy(F.col(word).alias("word")).agg(F.count("*").alias("n"))
+    given = [row.piece for row in vocab.filter("piece is not null").select("piece").distinct().limit(in_memory + 1).collect()]
+    if len(given) > in_memory:
+        return _joined_coverage(counted, vocab, max_chars)
+    shared = words.sparkSession.sparkContext.broadcast(given)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Pieces(shared.value)
+        for batch in batches:
+            pieces = [known.split(w, max_chars) for w in batch.column(0).to_pylist()]
+            found = pa.array([bool(p) for p in pieces], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(pieces, pa.list_(pa.string())), found], names=["word", "n", "pieces", "known"]
+            )
+
+    return counted.mapInArrow(walk, "word string, n long, pieces array<string>, known boolean")
+
+
+def _joined_coverage(counted: DataFrame, vocab: DataFrame, max_chars: int) -> DataFrame:
+    """The same for a vocabulary of any size.
+
+    Each distinct word lists its substrings once, those in the vocabulary stay, and a fold over the
+    word's own longest ones takes them from left to right.
+    """
     spans = F.expr(
         f"""if(length(word) > {max_chars} or word = '', null, flatten(transform(sequence(1, length(word)), at ->
           transform(sequence(1, length(word) - at + 1), size -> struct(at, size)))))"""
