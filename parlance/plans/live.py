@@ -299,7 +299,8 @@ def message_stream(spark, d):
     return run.collected(run.ordered_messages(doubled)).select("session", "seq", "kind")
 
 
-@register("emissions_sink")
+@register("emissions_sink", _agree(_RULES) + """
+SELECT CASE WHEN kind = 'partial' THEN to_json({'partial': text}) ELSE to_json({'text': text}) END AS value FROM agree""")
 def emissions_sink(spark, d):
     lines = _live_emissions(spark, d).select(run.emission_json(F.col("kind"), F.col("text")).alias("value"))
     return spark.read.text(run.run_available(lines, "text"))
